@@ -1 +1,274 @@
-"""Write rules and presence queries (filled in below)."""
+"""Registry entries for the batch write rules (W1-W15) and chat presence (ST6-ST8).
+
+Request batches come from ``plans.requests`` (whole tables, perturbed values).
+The oracle SQL rebuilds the same batches from the same views.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillgrid.operators import ledger as W
+from tillgrid.plans import requests as R
+from tillgrid.plans.catalog import m, q, ts, tsu
+from tillgrid.sources import payloads as S4
+from tillgrid.streaming import presence as ST
+
+UNK = R.UNKNOWN_OFFSET
+
+# -- sale payload batch as SQL (mirrors requests.sale_payloads after parsing) --
+SALE_HEADERS_SQL = """select id request_id, total, paiement, monnaie, user_id, date_vente recu_le,
+    case when id % 10 = 1 then concat(' ', upper(mobile_operateur), ' ') when id % 10 = 2 then 'wave'
+      else mobile_operateur end op_sent,
+    case when id % 10 = 3 then '   ' else mobile_reference end ref_sent,
+    (select count(*) from vente_items i where i.vente_id = v.id) n_items
+  from ventes v where id % 50 <> 7"""
+
+VALIDATED_SQL = f"""select request_id, total, monnaie, user_id, recu_le, n_items, coalesce(paiement, 'especes') paiement,
+    case when paiement = 'mobile' then lower(trim(coalesce(op_sent, ''))) end mobile_operateur,
+    case when paiement = 'mobile' then nullif(trim(coalesce(ref_sent, '')), '') end mobile_reference,
+    case when paiement = 'mobile' and lower(trim(coalesce(op_sent, ''))) not in ('orange', 'mtn', 'moov')
+      then 'operateur_invalide' end rejet
+  from ({SALE_HEADERS_SQL}) h"""
+
+
+def _sale_headers(fx):
+    headers, lines, _ = S4.parse_payloads(R.sale_payloads(fx), "sale")
+    return headers, lines
+
+
+@q("validate_sales", f"""select request_id, paiement, mobile_operateur, mobile_reference, rejet
+  from ({VALIDATED_SQL}) x""")
+def _w1(fx):
+    """W1 over every sale's payload (operators padded, upper-cased or unknown; blank references)."""
+    headers, _ = _sale_headers(fx)
+    return W.validate_sales(headers).select("request_id", "paiement", "mobile_operateur", "mobile_reference", "rejet")
+
+
+@q("cart_totals", f"""with t as (select vente_id, sum(prix_unitaire * quantite) total from vente_items group by vente_id),
+  p as (select id cart_id, paiement, case when monnaie = 0 then 0 else total end recu from ventes),
+  j as (select p.cart_id, p.paiement, t.total, case when p.recu is null or p.recu = 0 then t.total else p.recu end eff
+        from p left join t on t.vente_id = p.cart_id)
+  select cart_id, paiement, {m('total')} total, {m('eff')} recu,
+    {m("case when paiement = 'especes' then eff - total else 0 end")} monnaie,
+    case when total is null then 'panier_vide' when paiement = 'especes' and eff < total then 'montant_insuffisant'
+    end rejet from j""")
+def _w2(fx):
+    lines, pay = R.cart_batches(fx)
+    return W.cart_totals(lines, pay)
+
+
+@q("record_sales", f"""select (select max(id) from ventes) + request_id id, {m('cast(total as decimal(18,2))')} total,
+  paiement, mobile_operateur, mobile_reference, 'validee' statut,
+  {m('cast(coalesce(monnaie, 0) as decimal(18,2))')} monnaie, {ts('recu_le')} date_vente, user_id
+  from ({VALIDATED_SQL}) x where rejet is null""")
+def _w3(fx):
+    """Accepted payloads become new sales (ids after the current maximum)."""
+    headers, lines = _sale_headers(fx)
+    return W.record_sales(headers, lines, W.max_id(fx["ventes"]))["ventes"]
+
+
+MOVES_SQL = """select i.produit_id, -i.quantite delta from vente_items i join ventes v on v.id = i.vente_id
+  union all select i.produit_id, i.quantite from vente_items i join annulations_vente c on c.vente_id = i.vente_id
+  union all select i.produit_id, i.quantite from achat_items i join achats a on a.id = i.achat_id"""
+
+
+@q("stock_on_hand", f"""select p.id, cast(p.stock + coalesce(s.d, 0) as bigint) stock from produits p
+  left join (select produit_id, sum(delta) d from ({MOVES_SQL}) mv group by produit_id) s on s.produit_id = p.id""")
+def _w4(fx):
+    mv = W.all_movements(fx["vente_items"], fx["ventes"], fx["annulations_vente"], fx["achat_items"], fx["achats"])
+    return W.stock_on_hand(fx["produits"], mv)
+
+
+@q("cancel_sales", """with r as (
+    select id * 4 request_seq, id vente_id, case when id % 5 = 0 then '  ' else 'erreur caisse' end motif from ventes
+    union all select id * 4 + 1, id, 'doublon' from ventes where id % 7 = 0
+    union all select id * 4 + 2, -id, 'inconnue' from ventes where id % 13 = 0),
+  f as (select vente_id, min(request_seq) first_seq from r group by vente_id)
+  select r.request_seq, r.vente_id,
+    case when v.id is null then 'introuvable' when v.statut = 'annulee' then 'deja_annulee'
+      when r.request_seq <> f.first_seq then 'deja_annulee' else 'ok' end outcome,
+    coalesce(nullif(trim(r.motif), ''), 'Annulation manuelle') motif
+  from r join f on f.vente_id = r.vente_id left join ventes v on v.id = r.vente_id""")
+def _w5(fx):
+    """A request per sale, repeats for every 7th, unknown ids for every 13th."""
+    out = W.cancel_sales(R.cancel_requests(fx), fx["ventes"], fx["vente_items"])
+    return out["decisions"].select("request_seq", "vente_id", "outcome", "motif")
+
+
+PURCHASE_LINES_SQL = f"""select achat_id request_id, id - achat_id * 1000 - 1 pos,
+    case when id % 23 = 0 then produit_id + {UNK} else produit_id end produit_id,
+    case when id % 17 = 0 then 0 else quantite end quantite,
+    case when id % 19 = 0 then 0 else prix_achat end prix_achat from achat_items"""
+
+PURCHASE_CHECK_SQL = f"""with h as (select id request_id, fournisseur_id, reference, notes, user_id, date_achat recu_le from achats
+    union all select -id, fournisseur_id, reference, notes, user_id, date_achat from achats where id % 11 = 0),
+  l as ({PURCHASE_LINES_SQL}),
+  c as (select l.*, case when produit_id is null or produit_id = 0 or quantite <= 0 or prix_achat <= 0
+          then 'lignes_invalides' when p.id is null then 'produit_introuvable' end why
+        from l left join (select id from produits where actif = 1) p on p.id = l.produit_id),
+  b as (select request_id, count(*) n, arg_min(why, pos) filter (where why is not null) why from c group by request_id),
+  v as (select h.*, case when b.n is null then 'aucune_ligne' else b.why end rejet from h left join b using (request_id))"""
+
+
+@q("validate_purchases", PURCHASE_CHECK_SQL + "\nselect request_id, rejet from v")
+def _w6(fx):
+    headers, lines = R.purchase_batches(fx)
+    return W.validate_purchases(headers, lines, fx["produits"]).select("request_id", "rejet")
+
+
+@q("record_purchases", PURCHASE_CHECK_SQL + f""",
+  t as (select l.request_id, sum(cast(cast(l.quantite as bigint) as int) * cast(l.prix_achat as decimal(18,2))) total
+        from l join v on v.request_id = l.request_id where v.rejet is null group by l.request_id)
+  select (select max(id) from achats) + v.request_id id, v.fournisseur_id, {m('t.total')} total,
+    nullif(trim(v.reference), '') reference, nullif(trim(v.notes), '') notes, v.user_id, {ts('v.recu_le')} date_achat
+  from v join t on t.request_id = v.request_id where v.rejet is null""")
+def _w7(fx):
+    headers, lines = R.purchase_batches(fx)
+    return W.record_purchases(headers, lines, fx["produits"], W.max_id(fx["achats"]))["achats"]
+
+
+@q("record_expenses", f"""with r as (select id request_id,
+    case when id % 9 = 0 then '  ' else concat(' ', libelle) end libelle,
+    case when id % 7 = 0 then 0 when id % 11 = 0 then -montant else montant end montant,
+    case when id % 5 = 0 then '  ' else categorie end categorie, user_id, date_depense recu_le from depenses)
+  select (select max(id) from depenses) + request_id id, trim(libelle) libelle,
+    {m('cast(cast(montant as double) as decimal(18,2))')} montant, nullif(trim(categorie), '') categorie,
+    cast(null as varchar) notes, user_id, {ts('recu_le')} date_depense
+  from r where nullif(trim(libelle), '') is not null and montant > 0""")
+def _w8(fx):
+    return W.record_expenses(R.expense_requests(fx), W.max_id(fx["depenses"]))["depenses"]
+
+
+@q("upsert_products", f"""with ch as (
+    select id * 2 request_seq, case when id % 29 = 0 then id + {UNK} else id end id, concat(nom, ' v2') nom, prix,
+      case when id % 3 = 0 then null else stock + 1 end stock,
+      case when id % 3 = 0 then null else stock_alerte end stock_alerte,
+      case when id % 3 = 0 then null else categorie_id end categorie_id,
+      case when id % 4 = 2 then concat('618', lpad(cast(id + 1 as varchar), 10, '0'))
+           when id % 4 = 3 then code_barres end code_barres,
+      id % 4 <> 0 has_cb from produits
+    union all select id * 2 + 1, null, concat(nom, ' bis'), prix, null, null, null,
+      concat(' 999', cast(id as varchar), ' '), true from produits where id % 31 = 0),
+  c as (select ch.*, cur.id cid, cur.actif cactif,
+      case when ch.id is null or ch.has_cb then nullif(trim(coalesce(ch.code_barres, '')), '') else cur.code_barres end cb,
+      case when ch.id is null then (select max(id) from produits) + ch.request_seq else ch.id end target
+    from ch left join produits cur on cur.id = ch.id),
+  h as (select c.*, hold.id holder, (c.id is not null and c.cid is null) unknown_id,
+      coalesce(c.cb is not null and hold.id is not null and hold.id <> c.target, false) held
+    from c left join produits hold on hold.code_barres = c.cb),
+  f as (select cb, min(request_seq) first_seq from h where cb is not null and not held and not unknown_id group by cb)
+  select h.request_seq, case when h.id is null then 'insert' else 'update' end action, h.target id, h.nom,
+    {m('h.prix')} prix, h.cb code_barres, cast(coalesce(h.stock, 0) as int) stock,
+    cast(coalesce(h.stock_alerte, 5) as int) stock_alerte, cast(h.categorie_id as bigint) categorie_id,
+    cast(case when h.id is null then 1 else h.cactif end as int) actif,
+    case when h.unknown_id then 'introuvable'
+      when h.held or (h.cb is not null and h.request_seq <> f.first_seq) then 'code_barres_duplique' end rejet
+  from h left join f on f.cb = h.cb""")
+def _w9(fx):
+    return W.upsert_products(fx["produits"], R.product_changes(fx), W.max_id(fx["produits"]))
+
+
+@q("soft_delete", """select id, nom, case when id % 4 = 0 then 0 else actif end actif from fournisseurs""")
+def _w10(fx):
+    """Every 4th supplier deleted, plus ids that do not exist (no effect)."""
+    f = fx["fournisseurs"]
+    ids = (f.filter(F.col("id") % 4 == 0).select("id")
+            .unionByName(f.filter(F.col("id") % 4 == 1).select((F.col("id") + UNK).alias("id"))))
+    return W.soft_delete(f, ids).select("id", "nom", "actif")
+
+
+@q("insert_if_absent", f"""with n as (select p_partkey request_seq,
+    case when p_partkey % 2 = 0 then p_name else concat(p_name, ' ', p_brand) end nom,
+    cast(p_retailprice as decimal(18,2)) prix from part),
+  f as (select nom, min(request_seq) s from n group by nom)
+  select (select max(id) from produits) + f.s id, f.nom, {m('n.prix')} prix
+  from f join n on n.request_seq = f.s where not exists (select 1 from produits p where p.nom = f.nom)""")
+def _w11(fx):
+    return W.insert_if_absent(fx["produits"], R.catalogue_rows(fx), W.max_id(fx["produits"]))
+
+
+@q("delete_categories", """select p.id, p.nom, p.categorie_id, c.nom categorie_nom from produits p
+  left join (select * from categories where id % 2 <> 0) c on c.id = p.categorie_id where p.actif = 1""")
+def _w12(fx):
+    """Even category ids deleted; the catalogue then shows NULL for their products."""
+    from tillgrid.operators.joins import catalog
+    cats = fx["categories"]
+    left = W.delete_by_id(cats, cats.filter(F.col("id") % 2 == 0).select("id"))
+    return catalog(fx["produits"], left).select("id", "nom", "categorie_id", "categorie_nom")
+
+
+@q("upsert_suppliers", f"""with ch as (
+    select id * 2 request_seq, case when id % 10 = 0 then id + {UNK} else id end id,
+      case when id % 6 = 0 then '  ' else concat(nom, ' ') end nom, concat(' c', cast(id as varchar), ' ') contact,
+      '' telephone, cast(null as varchar) email, ' Abidjan ' adresse, cast(null as timestamp) recu_le from fournisseurs
+    union all select id * 2 + 1, null, concat(nom, ' bis'), null, null, 'x@y.z', null, timestamp '2000-01-01 00:00:00'
+      from fournisseurs where id % 9 = 0)
+  select ch.request_seq, case when ch.id is null then 'insert' else 'update' end action,
+    case when ch.id is null then (select max(id) from fournisseurs) + ch.request_seq else ch.id end id,
+    nullif(trim(ch.nom), '') nom, nullif(trim(ch.contact), '') contact, nullif(trim(ch.telephone), '') telephone,
+    nullif(trim(ch.email), '') email, nullif(trim(ch.adresse), '') adresse,
+    cast(case when ch.id is null then 1 else cur.actif end as int) actif,
+    {ts('case when ch.id is null then ch.recu_le end')} created_at,
+    case when nullif(trim(ch.nom), '') is null then 'nom_requis' when ch.id is not null and cur.id is null
+      then 'sans_effet' end rejet
+  from ch left join fournisseurs cur on cur.id = ch.id""")
+def _w13(fx):
+    return W.upsert_suppliers(fx["fournisseurs"], R.supplier_changes(fx), W.max_id(fx["fournisseurs"]))
+
+
+@q("add_categories", """select id, nom, couleur from categories
+  union all select (select max(id) from categories) + min(p_partkey), p_brand, '#22c55e' from part group by p_brand""")
+def _w14(fx):
+    return W.add_categories(fx["categories"], R.new_categories(fx), W.max_id(fx["categories"]))
+
+
+@q("restock", f"""select l_partkey produit_id, cast(cast(l_quantity - 25 as double) as bigint) delta,
+  {ts('l_shipdate')} ts, 'reappro' kind from lineitem
+  where l_returnflag = 'A' and cast(cast(l_quantity - 25 as double) as bigint) > 0""")
+def _w15(fx):
+    moves, _ = W.restock(R.restock_requests(fx))
+    return moves.select("produit_id", "delta", "ts", "kind")
+
+
+# ============================================================ presence (batch)
+PREV_SQL = """select *,
+    last_value(case when kind <> 'message' then kind end ignore nulls)
+      over (partition by conn order by ts, id rows between unbounded preceding and 1 preceding) prev_kind,
+    last_value(case when kind <> 'message' then username end ignore nulls)
+      over (partition by conn order by ts, id rows between unbounded preceding and 1 preceding) prev_name
+  from chat_events"""
+
+TRANSITIONS_SQL = f"""select id, ts, conn, kind, username,
+    case when kind = 'join' and coalesce(prev_kind, 'disconnect') <> 'join' then 1
+         when kind = 'disconnect' and prev_kind = 'join' then -1 else 0 end delta
+  from ({PREV_SQL}) e where kind <> 'message'"""
+
+
+def _micro(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.date_format(c, ST.TS_MICRO))
+    return df
+
+
+@q("presence_counts", f"""select id, {tsu('ts')} ts, conn, kind, delta,
+  sum(delta) over (order by ts, id rows between unbounded preceding and current row) en_ligne
+  from ({TRANSITIONS_SQL}) t""")
+def _st6(fx):
+    return _micro(ST.presence_counts(fx["chat_events"]), "ts")
+
+
+@q("gated_messages", f"""select id, {tsu('ts')} ts, conn, username from ({PREV_SQL}) e
+  where kind = 'message' and prev_kind = 'join' and prev_name = username""")
+def _st7(fx):
+    return _micro(ST.gated_messages(fx["chat_events"]), "ts")
+
+
+@q("presence_sessions", f"""select conn, username, {tsu('ts')} debut,
+  {tsu("case when nd = -1 then nts end")} fin,
+  case when nd = -1 then (epoch_us(nts) - epoch_us(ts)) / 1e6 end duree_s
+  from (select *, lead(ts) over (partition by conn order by ts, id) nts,
+               lead(delta) over (partition by conn order by ts, id) nd
+        from ({TRANSITIONS_SQL}) t where delta <> 0) s where delta = 1""")
+def _st8(fx):
+    return _micro(ST.presence_sessions(fx["chat_events"]), "debut", "fin")

@@ -74,19 +74,13 @@ ORDER = ["categories", "produits", "users", "fournisseurs", "ventes", "vente_ite
          "depenses", "annulations_vente", "chat_events", "caisse_evenements"]
 
 
-def _deps(sql: str) -> set[str]:
-    return {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
-
-
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the shop views it references (and their dependencies)."""
     extra = extra or {}
     allv = {**VIEWS, **extra}
     order = ORDER + [k for k in extra]
     need: set[str] = set()
-    todo = [body, *[allv[k] for k in extra if re.search(rf"\b{k}\b", body)]]
-    todo_names = {v for v in allv if re.search(rf"\b{v}\b", body)}
-    stack = list(todo_names)
+    stack = [v for v in allv if re.search(rf"\b{v}\b", body)]
     while stack:
         v = stack.pop()
         if v in need:
@@ -95,6 +89,11 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         for d in {x for x in allv if x != v and re.search(rf"\b{x}\b", allv[v])}:
             if d not in need:
                 stack.append(d)
-    del todo
     ctes = [f"{v} as ({allv[v]})" for v in order if v in need]
-    return ("with " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    if not ctes:
+        return body
+    head = body.lstrip()
+    if re.match(r"(?i)with\s", head):
+        # The body has its own CTEs: append them after the views.
+        return "with " + ",\n".join(ctes) + ",\n" + head[5:]
+    return "with " + ",\n".join(ctes) + "\n" + body
