@@ -97,21 +97,7 @@ class ShopFixture:
 
     # -- facts ------------------------------------------------------------
     def _ventes(self) -> DataFrame:
-        o = self.raw("orders")
-        k, prio, cust = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_custkey")
-        mobile = prio.isin("1-URGENT", "2-HIGH")
-        return o.select(
-            k.alias("id"),
-            F.col("o_totalprice").cast(MONEY).alias("total"),
-            F.when(mobile, "mobile").when(prio == "4-NOT SPECIFIED", "carte").otherwise("especes").alias("paiement"),
-            F.when(mobile, F.when(cust % 4 == 0, "orange").when(cust % 4 == 1, "mtn")
-                   .when(cust % 4 == 2, "moov")).alias("mobile_operateur"),
-            F.when(mobile & (k % 3 != 0), F.concat(F.lit("REF"), k.cast("string"))).alias("mobile_reference"),
-            F.when(F.col("o_orderstatus") == "F", "annulee").otherwise("validee").alias("statut"),
-            F.when(prio.isin("3-MEDIUM", "5-LOW"), (k % 5) * 100).otherwise(0).cast(MONEY).alias("monnaie"),
-            (F.col("o_orderdate") + _hours(k % 24)).alias("date_vente"),
-            F.when(cust % 50 == 0, F.lit(None).cast("long")).otherwise(cust % 25).alias("user_id"),
-        )
+        return ventes_from_orders(self.raw("orders"))
 
     def _lines_with_part(self, keep) -> DataFrame:
         li = self.raw("lineitem").filter(keep)
@@ -173,12 +159,7 @@ class ShopFixture:
         )
 
     def _annulations_vente(self) -> DataFrame:
-        v = self["ventes"].filter(F.col("statut") == "annulee")
-        return v.select(
-            F.col("id"), F.col("id").alias("vente_id"),
-            F.when(F.col("id") % 3 == 0, "Annulation manuelle").otherwise("erreur prix").alias("motif"),
-            "user_id", (F.col("date_vente") + _hours(F.lit(24))).alias("created_at"),
-        )
+        return annulations_from_ventes(self["ventes"])
 
     def _chat_events(self) -> DataFrame:
         ev = self.raw("events")
@@ -196,6 +177,34 @@ class ShopFixture:
                                   self["achats"], self["depenses"])
 
 
+def ventes_from_orders(o: DataFrame) -> DataFrame:
+    """Sales from orders; row-by-row, so it also maps a stream of orders."""
+    k, prio, cust = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_custkey")
+    mobile = prio.isin("1-URGENT", "2-HIGH")
+    return o.select(
+        k.alias("id"),
+        F.col("o_totalprice").cast(MONEY).alias("total"),
+        F.when(mobile, "mobile").when(prio == "4-NOT SPECIFIED", "carte").otherwise("especes").alias("paiement"),
+        F.when(mobile, F.when(cust % 4 == 0, "orange").when(cust % 4 == 1, "mtn")
+               .when(cust % 4 == 2, "moov")).alias("mobile_operateur"),
+        F.when(mobile & (k % 3 != 0), F.concat(F.lit("REF"), k.cast("string"))).alias("mobile_reference"),
+        F.when(F.col("o_orderstatus") == "F", "annulee").otherwise("validee").alias("statut"),
+        F.when(prio.isin("3-MEDIUM", "5-LOW"), (k % 5) * 100).otherwise(0).cast(MONEY).alias("monnaie"),
+        (F.col("o_orderdate") + _hours(k % 24)).alias("date_vente"),
+        F.when(cust % 50 == 0, F.lit(None).cast("long")).otherwise(cust % 25).alias("user_id"),
+    )
+
+
+def annulations_from_ventes(v: DataFrame) -> DataFrame:
+    """Cancellations of the cancelled sales, a day after the sale; row-by-row (stream-safe)."""
+    v = v.filter(F.col("statut") == "annulee")
+    return v.select(
+        F.col("id"), F.col("id").alias("vente_id"),
+        F.when(F.col("id") % 3 == 0, "Annulation manuelle").otherwise("erreur prix").alias("motif"),
+        "user_id", (F.col("date_vente") + _hours(F.lit(24))).alias("created_at"),
+    )
+
+
 def shop(spark: SparkSession, sf_dir: str) -> ShopFixture:
     return ShopFixture(spark, sf_dir)
 
