@@ -33,7 +33,13 @@ def row_bound_holds(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> bool:
     ``limit(n + 1).count()`` stops reading once the bound is exceeded, so the
     check stays cheap even when the answer is "no".
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    memo = getattr(df, "_tillgrid_row_bounds", None)
+    if memo is None:
+        memo = {}
+        df._tillgrid_row_bounds = memo
+    if max_rows not in memo:
+        memo[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+    return memo[max_rows]
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",

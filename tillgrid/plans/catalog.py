@@ -26,7 +26,7 @@ from tillgrid.plans.oracle_views import with_views
 from tillgrid.sources import export as X
 from tillgrid.sources import payloads as S4
 from tillgrid.sources import schemas as S
-from tillgrid.sources.fixtures import ShopFixture
+from tillgrid.sources.fixtures import ShopFixture, shop
 from tillgrid.streaming import presence as ST
 
 # Fixed parameters of the registered queries (see FIXTURES.md section 4).
@@ -59,7 +59,7 @@ def edge(df: DataFrame) -> DataFrame:
 def q(key: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return edge(fn(ShopFixture(spark, sf_dir)))
+            return edge(fn(shop(spark, sf_dir)))
         run.__name__ = key
         run.__doc__ = fn.__doc__
         QUERIES[key] = run

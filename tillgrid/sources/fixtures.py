@@ -45,7 +45,10 @@ class ShopFixture:
         self._cache: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_test_table(self.spark, self.sf_dir, name)
+        key = f"raw:{name}"
+        if key not in self._cache:
+            self._cache[key] = read_test_table(self.spark, self.sf_dir, name)
+        return self._cache[key]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -205,8 +208,20 @@ def annulations_from_ventes(v: DataFrame) -> DataFrame:
     )
 
 
+_FIXTURES: dict[tuple[int, str], ShopFixture] = {}
+
+
 def shop(spark: SparkSession, sf_dir: str) -> ShopFixture:
-    return ShopFixture(spark, sf_dir)
+    """The (lazy) views of one test-data folder, shared by all queries of a session.
+
+    Sharing the DataFrame objects means each view is analysed once and a
+    query that uses one view twice gets one plan subtree (exchange reuse).
+    """
+    key = (id(spark), sf_dir)
+    fx = _FIXTURES.get(key)
+    if fx is None or fx.spark is not spark:
+        fx = _FIXTURES[key] = ShopFixture(spark, sf_dir)
+    return fx
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
