@@ -78,12 +78,15 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """
     keys = list(keys)
     d = df.withColumn("_chunk", chunk)
-    totals = d.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_chunk_total"))
+    w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = d.withColumn("_inner", F.sum(value).over(w_in))
+    # Chunk totals come from the windowed rows: they are already hash-partitioned
+    # by (key, chunk), so both join sides share one exchange and the input plan
+    # is evaluated once.
+    totals = inner.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_chunk_total"))
     w_prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk",
                             F.coalesce(F.sum("_chunk_total").over(w_prev), F.lit(0)).alias("_offset"))
-    w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = d.withColumn("_inner", F.sum(value).over(w_in))
     return (inner.join(offsets, [*keys, "_chunk"], "inner")
                  .withColumn(out, F.col("_offset") + F.col("_inner"))
                  .drop("_chunk", "_offset", "_inner"))
@@ -106,7 +109,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     # Last non-NULL value of each chunk, then the latest of those before each chunk.
     # max_by skips rows whose ordering is NULL, i.e. rows without a value.
     ordkey = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))
-    finals = d.groupBy(*keys, "_chunk").agg(F.max_by(F.col(value), ordkey).alias("_final"))
+    finals = inner.groupBy(*keys, "_chunk").agg(F.max_by(F.col(value), ordkey).alias("_final"))
     w_prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = finals.select(*keys, "_chunk", F.last("_final", ignorenulls=True).over(w_prev).alias("_carry"))
     return (inner.join(carried, [*keys, "_chunk"], "inner")

@@ -133,14 +133,12 @@ def _s3(fx):
   from ventes v left join n on n.vente_id = v.id""")
 def _s4(fx):
     """One checkout payload per sale parsed back into headers + lines; broken JSON rejected."""
-    headers, lines, rejects = S4.parse_payloads(R.sale_payloads(fx), "sale")
-    units = lines.groupBy("request_id").agg(F.sum(F.col("quantite").cast("long")).alias("units"))
-    ok = headers.join(units, "request_id", "left").select(
-        "source_id", "request_id", "n_items", F.coalesce(F.col("units"), F.lit(0)).cast("long").alias("units"),
-        F.lit(None).cast("string").alias("rejet"))
-    bad = rejects.select("source_id", F.lit(None).cast("long").alias("request_id"),
-                         F.lit(None).cast("int").alias("n_items"), F.lit(None).cast("long").alias("units"), "rejet")
-    return ok.unionByName(bad)
+    t = S4.tag_payloads(R.sale_payloads(fx), "sale")
+    ok = F.col("rejet").isNull()
+    units = F.aggregate(F.coalesce(F.col("p.items"), F.array()), F.lit(0).cast("long"),
+                        lambda acc, x: acc + x["quantite"].cast("long"))
+    return t.select("source_id", F.when(ok, F.col("p.request_id")).alias("request_id"),
+                    F.when(ok, S4.item_count()).alias("n_items"), F.when(ok, units).alias("units"), "rejet")
 
 
 @q("export_sales_csv", """select id, strftime(date_vente, '%Y-%m-%d %H:%M:%S') date_vente, statut, paiement,
