@@ -265,3 +265,14 @@ def test_chunked_running_sum_and_carry_forward_match_brute_force(spark):
     for r in pdf.itertuples():
         assert rs[r.id] == r.cum
         assert cf[r.id] == (None if pd.isna(r.prev) else r.prev)
+
+
+def test_day_partitioned_layout_prunes_period_reports(spark, fx):
+    root = S.write_shop({"ventes": fx["ventes"]}, shared_dir(spark, "shop"), grain="month")
+    v = S.load_shop(spark, root, ["ventes"])["ventes"]
+    sel = P.between_days(v, "date_vente", "1995-03-01", "1995-03-31")
+    plan = sel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(mois" in plan and "mois#" in plan
+    assert sel.count() == P.between_days(fx["ventes"], "date_vente", "1995-03-01", "1995-03-31").count()
+    assert A.revenue(v, "1995-01-01", "1995-12-31").first()[0] == A.revenue(fx["ventes"], "1995-01-01",
+                                                                            "1995-12-31").first()[0]

@@ -41,14 +41,36 @@ def valid_sales(df: DataFrame) -> DataFrame:
     return df.filter(F.col("statut") == "validee")
 
 
+def _partition_range(df: DataFrame, ts: str, a: dt.date, b: dt.date):
+    """Pruning predicate on the day/month partition column of a table written
+    by ``write_shop`` (None when the table has none for this timestamp)."""
+    from tillgrid.sources.schemas import DAY_PARTITIONED
+    if ts not in DAY_PARTITIONED.values():
+        return None
+    if "jour" in df.columns:
+        return F.col("jour").between(F.lit(a), F.lit(b))
+    if "mois" in df.columns:
+        return F.col("mois").between(F.lit(a.replace(day=1)), F.lit(b.replace(day=1)))
+    return None
+
+
 def on_day(df: DataFrame, ts: str, d: Dateish) -> DataFrame:
-    """P5: rows whose timestamp falls on calendar day ``d``."""
-    return df.filter(F.to_date(F.col(ts)) == F.lit(_d(d)))
+    """P5: rows whose timestamp falls on calendar day ``d``.
+
+    On day/month-partitioned tables the same test on the partition column
+    prunes folders.
+    """
+    return between_days(df, ts, d, d)
 
 
 def between_days(df: DataFrame, ts: str, a: Dateish, b: Dateish) -> DataFrame:
     """Rows whose day is in [a, b], both ends included (an inverted range is empty)."""
-    return df.filter(F.to_date(F.col(ts)).between(F.lit(_d(a)), F.lit(_d(b))))
+    a, b = _d(a), _d(b)
+    cond = F.to_date(F.col(ts)).between(F.lit(a), F.lit(b)) if a != b else (F.to_date(F.col(ts)) == F.lit(a))
+    part = _partition_range(df, ts, a, b)
+    if part is not None:
+        cond = cond & part
+    return df.filter(cond)
 
 
 def optional_period(df: DataFrame, ts: str, a: Dateish | None = None, b: Dateish | None = None) -> DataFrame:

@@ -93,11 +93,10 @@ PRODUITS_OUT = f"id, nom, code_barres, {m('prix')} prix, stock, stock_alerte, ca
 # ============================================================ S: sources & sinks
 @q("load_shop", f"select {VENTES_OUT} from ventes")
 def _s1(fx: ShopFixture):
-    """Shop tables written as Parquet, read back with explicit schemas."""
+    """Sales written month-partitioned to the shared folder, read back with explicit schemas."""
     from tillgrid.session import shared_dir
-    root = shared_dir(fx.spark, "shop")
-    fx["ventes"].write.mode("overwrite").parquet(f"{root}/ventes")
-    return S.load_shop(fx.spark, root, ["ventes"])["ventes"]
+    root = S.write_shop({"ventes": fx["ventes"]}, shared_dir(fx.spark, "shop"), grain="month")
+    return S.load_shop(fx.spark, root, ["ventes"])["ventes"].drop("mois")
 
 
 @q("apply_defaults", f"""select id, nom, code_barres, {m('prix')} prix,

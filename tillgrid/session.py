@@ -47,6 +47,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                executor_cores: int | None = None) -> dict[str, str]:
+    """Settings sized to the input: about one shuffle partition per 256 MiB of
+    input (AQE coalesces the small ones back), and scan splits of the same
+    size. For ~100 TB this gives ~400k initial shuffle partitions; AQE's
+    advisory size keeps the post-shuffle tasks near 256 MiB."""
+    parts = max(200, -(-input_bytes // target_partition_bytes))
+    if executor_cores:
+        parts = -(-parts // executor_cores) * executor_cores
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only when unset."""
     sc = spark.sparkContext
