@@ -118,9 +118,32 @@ def stock_fill_pct(stock, alerte) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(ratio + F.lit(0.5)).cast("int")))
 
 
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def hour_text(ts) -> Column:
+    """``HH`` of a TIMESTAMP_NTZ from its own field (``date_format`` would pass
+    through the session time zone and shift wall-clock times inside a DST gap)."""
+    return _two(F.hour(_c(ts)))
+
+
+def ntz_text(ts, micros: bool = False) -> Column:
+    """``yyyy-MM-dd HH:mm:ss[.SSSSSS]`` of a TIMESTAMP_NTZ, built from its fields
+    so that no time zone is involved."""
+    t = _c(ts)
+    parts = [F.to_date(t).cast("string"), F.lit(" "), _two(F.hour(t)), F.lit(":"), _two(F.minute(t)), F.lit(":"),
+             _two(F.second(t))]
+    if micros:
+        frac = (F.extract(F.lit("SECOND"), t) * 1000000).cast("long") % 1000000
+        parts += [F.lit("."), F.lpad(frac.cast("string"), 6, "0")]
+    return F.concat(*parts)
+
+
 def sale_hour_minute(ts) -> Column:
     """``HH:mm`` of a sale time."""
-    return F.date_format(_c(ts), "HH:mm")
+    t = _c(ts)
+    return F.concat(_two(F.hour(t)), F.lit(":"), _two(F.minute(t)))
 
 
 def make_barcode(n) -> Column:

@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.functions.scalars import stock_status
+from tillgrid.functions.scalars import hour_text, stock_status
 from tillgrid.operators.filters import Dateish, _d, active, between_days, on_day, valid_sales
 from tillgrid.operators.joins import sale_lines, with_cost
 from tillgrid.operators.strategy import join_dim, top_k_per_group
@@ -23,6 +23,11 @@ COVER_DAYS = 10  # Fixed value: days of sales a reorder should cover.
 MOVER_DAYS = 7   # Fixed value: the fast-mover window and divisor.
 
 
+def _midnight(d: dt.date):
+    """Midnight of ``d`` as a TIMESTAMP_NTZ literal (built from text: no time zone involved)."""
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
+
+
 def _sum0(c: str, alias: str):
     return F.coalesce(F.sum(c), F.lit(0)).alias(alias)
 
@@ -50,8 +55,7 @@ def daily_sales(sales: DataFrame, as_of: Dateish, days: int = MOVER_DAYS) -> Dat
     As in the source: no upper bound, so up to ``days + 1`` calendar days
     (more if later-dated rows exist); days without sales are absent.
     """
-    since = dt.datetime.combine(_d(as_of) - dt.timedelta(days=days), dt.time())
-    v = valid_sales(sales).filter(F.col("date_vente") >= F.lit(since).cast("timestamp_ntz"))
+    v = valid_sales(sales).filter(F.col("date_vente") >= _midnight(_d(as_of) - dt.timedelta(days=days)))
     return v.groupBy(F.to_date("date_vente").alias("jour")).agg(F.sum("total").alias("total"))
 
 
@@ -155,7 +159,7 @@ def by_cashier(events: DataFrame, users: DataFrame, a: Dateish, b: Dateish) -> D
 def peak_hours(sales: DataFrame, a: Dateish, b: Dateish, n: int = 5) -> DataFrame:
     """Valid sales of [a, b] by two-digit hour; the ``n`` busiest hours."""
     v = between_days(valid_sales(sales), "date_vente", a, b)
-    g = v.groupBy(F.date_format("date_vente", "HH").alias("heure")).agg(F.count(F.lit(1)).alias("nb"))
+    g = v.groupBy(hour_text("date_vente").alias("heure")).agg(F.count(F.lit(1)).alias("nb"))
     return g.orderBy(F.desc("nb"), F.asc("heure")).limit(n)
 
 
@@ -217,8 +221,8 @@ def fast_movers(products: DataFrame, items: DataFrame, sales: DataFrame, as_of:
     if mode == "as_written":
         lines = items
     elif mode == "strict":
-        since = dt.datetime.combine(_d(as_of) - dt.timedelta(days=MOVER_DAYS), dt.time())
-        lines = sale_lines(items, sales).filter(F.col("date_vente") >= F.lit(since).cast("timestamp_ntz"))
+        since = _midnight(_d(as_of) - dt.timedelta(days=MOVER_DAYS))
+        lines = sale_lines(items, sales).filter(F.col("date_vente") >= since)
     else:
         raise ValueError(mode)
     units = lines.groupBy("produit_id").agg(F.sum("quantite").alias("_units"))

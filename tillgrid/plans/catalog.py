@@ -48,7 +48,9 @@ def edge(df: DataFrame) -> DataFrame:
         t = f.dataType
         if isinstance(t, T.DecimalType):
             c = c.cast("double")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(t, T.TimestampNTZType):
+            c = FX.ntz_text(c)
+        elif isinstance(t, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")

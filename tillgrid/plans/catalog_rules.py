@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillgrid.functions.scalars import ntz_text
 from tillgrid.operators import ledger as W
 from tillgrid.plans import requests as R
 from tillgrid.plans.catalog import m, q, ts, tsu
@@ -247,7 +248,7 @@ TRANSITIONS_SQL = f"""select id, ts, conn, kind, username,
 
 def _micro(df, *cols):
     for c in cols:
-        df = df.withColumn(c, F.date_format(c, ST.TS_MICRO))
+        df = df.withColumn(c, ntz_text(c, micros=True))
     return df
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillgrid.functions.scalars import ntz_text
 from tillgrid.operators.strategy import join_dim
 
 EXPORT_ROWS = 2000  # Fixed value: rows per export.
@@ -21,14 +22,12 @@ NO_SUPPLIER = "-"
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
                "lineSep": "\r\n", "quoteAll": "false"}
 
-TS_TEXT = "yyyy-MM-dd HH:mm:ss"
-
 
 def sales_export(sales: DataFrame, n: int = EXPORT_ROWS) -> DataFrame:
     """S5 as a DataFrame: newest ``n`` sales, NULL operator/reference -> empty text."""
     top = sales.orderBy(F.desc("date_vente"), F.desc("id")).limit(n)
     return top.select(
-        "id", F.date_format("date_vente", TS_TEXT).alias("date_vente"), "statut", "paiement",
+        "id", ntz_text("date_vente").alias("date_vente"), "statut", "paiement",
         F.coalesce(F.col("mobile_operateur"), F.lit("")).alias("operateur"),
         F.coalesce(F.col("mobile_reference"), F.lit("")).alias("reference"),
         F.col("total").cast("double").alias("total"), F.col("monnaie").cast("double").alias("monnaie"))
@@ -39,7 +38,7 @@ def purchases_export(purchases: DataFrame, suppliers: DataFrame, n: int = EXPORT
     top = purchases.orderBy(F.desc("date_achat"), F.desc("id")).limit(n)
     f = suppliers.select(F.col("id").alias("_fid"), F.col("nom").alias("_fnom"))
     j = join_dim(top, f, top.fournisseur_id == f._fid, "left")
-    return j.select("id", F.date_format("date_achat", TS_TEXT).alias("date_achat"),
+    return j.select("id", ntz_text("date_achat").alias("date_achat"),
                     F.coalesce(F.col("_fnom"), F.lit(NO_SUPPLIER)).alias("fournisseur"),
                     F.coalesce(F.col("reference"), F.lit("")).alias("reference"),
                     F.col("total").cast("double").alias("total"))

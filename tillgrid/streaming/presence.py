@@ -80,5 +80,6 @@ def presence_sessions(events: DataFrame) -> DataFrame:
         "conn", F.col("_l.username").alias("username"), F.col("_l.ts").alias("debut"),
         F.lit(None).cast("timestamp_ntz").alias("fin"))
     s = closed.unionByName(still_open)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return s.withColumn("duree_s", (micros("fin") - micros("debut")) / F.lit(1e6))
+    # Wall-clock difference of two TIMESTAMP_NTZ values: independent of the session time zone.
+    gap = F.timestamp_diff("MICROSECOND", F.col("debut"), F.col("fin"))
+    return s.withColumn("duree_s", gap / F.lit(1e6))
