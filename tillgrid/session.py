@@ -1,13 +1,12 @@
 """Session construction and the shared scratch location.
 
 On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...). We
-only ever read that setting; a private temporary folder is created only when it
-is unset, which is the local/test situation.
+only ever read that setting; a private temporary folder is used only where it
+is unset in a local session, as in tests.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -47,31 +46,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-                executor_cores: int | None = None) -> dict[str, str]:
-    """Settings sized to the input: about one shuffle partition per 256 MiB of
-    input (AQE coalesces the small ones back), and scan splits of the same
-    size. For ~100 TB this gives ~400k initial shuffle partitions; AQE's
-    advisory size keeps the post-shuffle tasks near 256 MiB."""
-    parts = max(200, -(-input_bytes // target_partition_bytes))
-    if executor_cores:
-        parts = -(-parts // executor_cores) * executor_cores
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-    }
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only when unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session (tests, a laptop) may leave it unset; it then gets a
+    private folder. On a cluster an unset folder is an error: executors could not
+    read what the driver or another executor wrote to a folder of its own.
+    """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tillgrid-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root
@@ -81,16 +68,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (one per run)."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_local_dir(path: str) -> None:
-    if is_local(path):
-        os.makedirs(local_path(path), exist_ok=True)
