@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillgrid.llm import decontamination, language_id, packing, quality, token_files
+from tillgrid.llm import decontamination, language_id, packing, quality, secrets, token_files
 from tillgrid.llm.common import read_table
 from tillgrid.llm.tokens import tokenizer_path
 from tillgrid.session import shared_dir
@@ -31,6 +31,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     rows = token_files.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
@@ -39,7 +43,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op8_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op6_secret_scan,
+                                    op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
