@@ -1,11 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five operators one after the other over ``documents``.
+
+Each stage works on all rows its predecessor kept and returns the columns of
+``documents``; the last one returns the packing plan. Stages are written as
+Parquet in the shared folder and read again, so each starts from a table.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillgrid.llm import decontamination, near_duplicates, packing, quality, secrets
+from tillgrid.llm.common import read_table, settle
+from tillgrid.llm.tokens import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base test or the weakly supervised verdict rejects go."""
+    return quality.kept_documents(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_duplicates.kept_documents(docs, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents a twentieth of whose words lie in benchmark passages go."""
+    return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts, ``n_chars`` follows; no document goes."""
+    masked = secrets.redact(docs, secrets.train_on(docs))
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 0)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES = []
+#: The vote model, the sketches and the tokenizer have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -165,6 +165,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in verdicts().items()])
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    found = search(docs, benchmark, out="_hits")
+    return found.filter(~verdicts("_hits")["contaminated"]).select(*docs.columns)
+
+
 SQL = r"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w

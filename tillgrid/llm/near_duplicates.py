@@ -282,3 +282,9 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     return (seen.select("doc_id", "n_shingles", "key").join(named, "key", "left")
                 .select("doc_id", "n_shingles", component.alias("component_id"))
                 .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def kept_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component, with all their columns; rows without a doc_id stay."""
+    gone = find(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -65,18 +65,18 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(windows(words), covered))
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, carry: Sequence[Column] = ()) -> DataFrame:
     """doc_id and the measures of the whole text (null: no words), one row per document.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words as the base test
     uses them, and for the rules: upper (A-Z), letters (A-Z, a-z and beyond ASCII),
     shouts (exclamation marks), n_lines (lines with a word), short_lines (those of at most two words), distinct_words.
-    Other columns, whatever their names, are not read; repeated rows stay.
+    Other columns, whatever their names, are not read, but for what ``carry`` adds; repeated rows stay.
     """
     text = F.col("_text")
     kept = F.regexp_replace(text, BLANKS, "")
-    d = docs.select("doc_id", whole_text().alias("_text"))
-    d = d.select("doc_id", "_text", words_of(text).alias("_words"),
+    d = docs.select("doc_id", whole_text().alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
+    d = d.select("doc_id", "_carry", "_text", words_of(text).alias("_words"),
                  F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, BLANKS, "") != "").alias("_lines"))
     w, lines = F.col("_words"), F.col("_lines")
     plain = F.translate(text, SYMBOLS, "")
@@ -94,6 +94,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(lines, lambda x: F.size(F.split(F.trim(x), BLANKS)) <= 2)).cast("long").alias("short_lines"),
         F.size(F.array_distinct(w)).cast("long").alias("distinct_words"),
+        "_carry",
     )
 
 
@@ -146,15 +147,15 @@ def fit(patterns: Sequence[tuple[Sequence[int], int]], steps: int = STEPS, weigh
     return [{v: v * math.log(a[v] / (1 - a[v])) for v in GUESS} for a in accuracy]
 
 
-def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+def judge(docs: DataFrame, keep: float = KEEP, carry: Sequence[Column] = ()) -> DataFrame:
     """doc_id, the measures, votes, base_failed, quality (posterior) and kept per document.
 
     An empty table gives no rows. A null or empty text has no words and fails the
     base test.
     """
     votes = rules()
-    # Measured once: the short rows are read for the counts and again for the verdicts.
-    voted = settle(measures(docs).select("*", *[v.cast("int").alias(f"vote_{n}") for n, v in votes.items()]), "votes")
+    # Measured once: the rows are read for the counts and again for the verdicts.
+    voted = settle(measures(docs, carry).select("*", *[v.cast("int").alias(f"vote_{n}") for n, v in votes.items()]), "votes")
     names = [f"vote_{n}" for n in votes]
     counted = voted.groupBy(*names).count().collect()  # at most 3^rules rows
     odds = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
@@ -164,3 +165,9 @@ def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     return (voted.withColumn("base_failed", base_failed())
                  .withColumn("quality", 1 / (1 + F.exp(-z)))
                  .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep)))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    judged = judge(docs, carry=[F.struct(*docs.columns).alias("row")])
+    return judged.filter("kept").select("_carry.row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillgrid.llm import decontamination, language_id, near_duplicates, packing, quality, secrets, token_files
+from tillgrid.llm import decontamination, language_id, near_duplicates, packing, quality, secrets, token_files, url_filter
 from tillgrid.llm.common import read_table
 from tillgrid.llm.tokens import tokenizer_path
 from tillgrid.session import shared_dir
@@ -42,14 +42,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.listed_on(pages))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.find(read_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op6_secret_scan,
-                                    op8_token_files, op10_near_duplicates)}
+                                    op8_token_files, op9_url_filter, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op9_url_filter": url_filter.SQL}
