@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillgrid.llm import decontamination, language_id, near_duplicates, packing, quality, secrets, token_files, url_filter
+from tillgrid.llm import decontamination, language_id, near_duplicates, packing, quality, secrets, token_files, toxicity, url_filter
 from tillgrid.llm.common import read_table
 from tillgrid.llm.tokens import tokenizer_path
 from tillgrid.session import shared_dir
@@ -14,6 +14,11 @@ from tillgrid.session import shared_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 0)
 
@@ -52,7 +57,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op6_secret_scan,
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op6_secret_scan,
                                     op8_token_files, op9_url_filter, op10_near_duplicates)}
 
 
