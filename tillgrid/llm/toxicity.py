@@ -27,9 +27,9 @@ LEAST_DOCS = 4
 LEAST_G2 = 15.0
 #: Grades of toxic documents: thirds of the share of their words that are features.
 GRADES = 4
-STEPS = 400
+STEPS = 1000
 RATE = 0.1
-RIDGE = 2e-4
+RIDGE = 1e-5
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 4
