@@ -3,7 +3,9 @@
 P(grade > k) = sigmoid(w.x - theta_k) for k = 0, 1, 2: one weight vector for all
 thresholds, which are kept in order. The expected severity is the sum of these
 probabilities. Features are words and the first four letters of words that
-occur clearly more often in documents labelled toxic; a feature's value is 1 + ln(1 + 1000 * share of the words).
+occur clearly more often in documents labelled toxic, and before many different words: words
+of passages that were merely copied keep their neighbours. A feature's value is its
+share of the text's words per thousand, at most 50; one more feature is 1 where any occurs.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from pyspark.sql import functions as F
 
 from tillgrid.llm.common import settle
 
-#: Labelled documents learned from, at most, drawn by a hash; features kept at
-#: most; labelled toxic documents a feature must occur in; G2 statistic it must reach.
+#: Labelled documents learned from, at most, drawn by a hash; features kept at most.
 SAMPLE_DOCS = 10_000
 FEATURES = 20_000
+#: What a feature needs: toxic documents with it, different words after it in
+#: toxic documents (told apart by 64 hash values), G2 statistic.
 LEAST_DOCS = 4
+LEAST_NEXT = 8
 LEAST_G2 = 15.0
+MOST_VALUE = 50.0
 #: Grades of toxic documents: thirds of the share of their words that are features.
 GRADES = 4
 STEPS = 1000
@@ -53,19 +58,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS)
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
-    """feature, n1, n0: labelled documents, toxic and other, that hold it."""
+    """feature, n1, n0 (labelled documents, toxic and other, that hold it), after (distinct hash values of the word after it in toxic ones)."""
     def count(batches: Iterator) -> Iterator:
+        import zlib
+
         import pyarrow as pa
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+        after: Counter = Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic > 0].update({f for w in set(words_of(text)) for f in features_of(w)})
+                words = words_of(text)
+                seen[toxic > 0].update({f for w in set(words) for f in features_of(w)})
+                if toxic > 0:
+                    for w, following in zip(words, [*words[1:], ""], strict=True):
+                        bit = 1 << (zlib.crc32(following.encode("utf-8", "surrogatepass")) & 63)
+                        for f in features_of(w):
+                            after[f] |= bit
         names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[k][f] for f in names], pa.int64()) for k in (1, 0)]],
-                                         ["feature", "n1", "n0"])
+        masks = np.array([after[f] for f in names], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[k][f] for f in names], pa.int64()) for k in (1, 0)],
+                                          pa.array(masks)], ["feature", "n1", "n0", "after"])
 
-    rows = sample.mapInArrow(count, "feature string, n1 long, n0 long")
-    return rows.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    rows = sample.mapInArrow(count, "feature string, n1 long, n0 long, after long")
+    return rows.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.bit_count(F.bit_or("after")).alias("after"))
 
 
 def _telling(counts: DataFrame, toxic: int, other: int, most: int) -> list[str]:
@@ -73,7 +88,7 @@ def _telling(counts: DataFrame, toxic: int, other: int, most: int) -> list[str]:
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     share = (toxic + 0.5) / (toxic + other + 1.0)
     g2 = 2 * (a * F.log(a / ((a + b) * share)) + b * F.log(b / ((a + b) * (1 - share))))
-    rows = (counts.filter((F.col("n1") >= LEAST_DOCS) & (a / (a + b) > 2 * share / (1 + share))).withColumn("g2", g2)
+    rows = (counts.filter((F.col("n1") >= LEAST_DOCS) & (F.col("after") >= LEAST_NEXT) & (a / (a + b) > (1 + share) / 2)).withColumn("g2", g2)
                   .filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "feature").limit(most).select("feature").collect())
     return [r["feature"] for r in rows]
 
@@ -94,7 +109,10 @@ def _rows_of(text: str, index: dict[str, int], memo: dict[str, tuple[int, ...]])
             for i in at:
                 found[i] += n
     total = max(1, len(words))
-    return {i: 1 + float(np.log1p(1000 * n / total)) for i, n in found.items()}, hits / total
+    values = {i: min(MOST_VALUE, 1000 * n / total) for i, n in found.items()}
+    if values:
+        values[len(index)] = 1.0
+    return values, hits / total
 
 
 @dataclass
@@ -111,7 +129,7 @@ class Model:
 
 
 def fit(rows: list[dict[int, float]], grades: np.ndarray, size: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by full-batch Adam on the mean log-loss, ridge on the weights."""
+    """Weights and ordered thresholds by full-batch Adam on the mean log-loss, weights of 0 or more with a ridge."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([i for r in rows for i in r], np.int64)
     val = np.array([x for r in rows for x in r.values()])
@@ -138,6 +156,7 @@ def fit(rows: list[dict[int, float]], grades: np.ndarray, size: int, steps: int
         grad = np.concatenate((dw, [tails[0]], tails[1:] * gaps))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         param = param - RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        np.maximum(param[:size], 0, out=param[:size])  # features were chosen for raising the grade
     return param[:size], param[size] + np.concatenate(([0.0], np.cumsum(np.exp(param[size + 1:]))))
 
 
@@ -166,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, features:
     share = np.array([r["share"] for r in got])
     cuts = np.quantile(share[toxic], np.arange(1, GRADES - 1) / (GRADES - 1)) if toxic.any() else np.zeros(GRADES - 2)
     grades = np.where(toxic, 1 + (share[:, None] > cuts[None]).sum(1), 0).astype(np.int64)
-    weights, thresholds = fit([dict(zip(r["at"], r["value"], strict=True)) for r in got], grades, len(names))
+    weights, thresholds = fit([dict(zip(r["at"], r["value"], strict=True)) for r in got], grades, len(names) + 1)
     return Model(index, weights, thresholds)
 
 
