@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillgrid.llm import decontamination, language_id, near_duplicates, packing, quality, secrets, token_files, toxicity, url_filter
+from tillgrid.llm import decontamination, language_id, licences, near_duplicates, packing, quality, secrets, token_files, toxicity, url_filter
 from tillgrid.llm.common import read_table
 from tillgrid.llm.tokens import tokenizer_path
 from tillgrid.session import shared_dir
@@ -40,6 +40,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     rows = token_files.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
@@ -58,7 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op6_secret_scan,
-                                    op8_token_files, op9_url_filter, op10_near_duplicates)}
+                                    op7_licence_scan, op8_token_files, op9_url_filter, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
