@@ -82,7 +82,7 @@ def count_contexts(sample: DataFrame) -> DataFrame:
                 for k in range(ORDER + 1):
                     key, n = np.unique(keys(data, k), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(key)), pa.array(np.full(len(key), k, np.int32)),
+                        [pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), k, np.int32)),
                          pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "k", "key", "n"])
 
     rows = sample.mapInArrow(count, "lang string, k int, key long, n long")
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                     for i, b, s in zip(known, best.tolist(), share.tolist(), strict=True):
                         langs[i], scores[i] = m.langs[b], s
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores)],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                                  ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
