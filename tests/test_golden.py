@@ -207,7 +207,7 @@ def test_purchase_first_failing_line_gives_the_reason(spark):
 
 
 def test_payload_parsing_rejects_broken_json(spark):
-    df = spark.createDataFrame([(1, '{"request_id": 1, "total": 5, "items": [{"produit_id": 3, "quantite": 2}]}'),
+    df = spark.createDataFrame([(1, '{"request_id": 1, "total": 5, "items": [{"produit_id": 3, "nom_produit": "x", "prix_unitaire": 1, "quantite": 2, "sous_total": 2}]}'),
                                 (2, '{"request_id": 2, "total": '), (3, '{"request_id": 3}')],
                                "source_id long, payload string")
     h, li, rej = S4.parse_payloads(df, "sale")
@@ -236,32 +236,19 @@ def test_sales_csv_bytes(spark):
     assert b'1,2000-01-02 03:04:05,validee,mobile,,"a""b,c",12.5,0.0\r\n' in data
 
 
-def test_top_k_per_group_matches_brute_force_with_a_hot_group(spark):
-    from tillgrid.operators.strategy import top_k_per_group
-    import random
-    rnd = random.Random(7)
-    data = [("hot", f"p{i}", rnd.randint(0, 50)) for i in range(600)] + \
-           [(f"g{g}", f"p{i}", rnd.randint(0, 50)) for g in range(5) for i in range(7)]
-    df = spark.createDataFrame(data, "g string, nom string, q int")
-    got = rows(top_k_per_group(df, ["g"], [F.desc("q"), F.asc("nom")], 5, ["nom"], buckets=8), "g", "rang")
-    pdf = pd.DataFrame(data, columns=["g", "nom", "q"]).sort_values(["g", "q", "nom"], ascending=[True, False, True])
-    want = pdf.groupby("g").head(5)
-    assert [(r["g"], r["nom"]) for r in got] == list(zip(want["g"], want["nom"]))
-
-
-def test_chunked_running_sum_and_carry_forward_match_brute_force(spark):
+def test_sliced_running_sum_and_carry_forward_match_brute_force(spark):
     from tillgrid.operators.strategy import carry_forward, running_sum
     import random
     rnd = random.Random(3)
     data = [(rnd.choice(["a", "a", "a", "b"]), i, TS(2000, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 600)),
              rnd.randint(-5, 5), rnd.choice([None, None, "x", "y"])) for i in range(400)]
+    data += [(None, 1000 + i, TS(2000, 1, 1), i, "z" if i % 7 == 0 else None) for i in range(300)]  # one key, one moment
     df = spark.createDataFrame(data, "k string, id long, ts timestamp_ntz, v int, s string")
-    hour = F.date_trunc("hour", "ts")
-    rs = {r["id"]: r["cum"] for r in running_sum(df, ["k"], ["ts", "id"], "v", "cum", hour).collect()}
-    cf = {r["id"]: r["prev"] for r in carry_forward(df, ["k"], ["ts", "id"], "s", "prev", hour).collect()}
+    rs = {r["id"]: r["cum"] for r in running_sum(df, ["k"], ["ts", "id"], "v", "cum").collect()}
+    cf = {r["id"]: r["prev"] for r in carry_forward(df, ["k"], ["ts", "id"], "s", "prev").collect()}
     pdf = pd.DataFrame(data, columns=["k", "id", "ts", "v", "s"]).sort_values(["k", "ts", "id"])
-    pdf["cum"] = pdf.groupby("k")["v"].cumsum()
-    pdf["prev"] = pdf.groupby("k")["s"].transform(lambda s: s.ffill().shift(1))
+    pdf["cum"] = pdf.groupby("k", dropna=False)["v"].cumsum()
+    pdf["prev"] = pdf.groupby("k", dropna=False)["s"].transform(lambda s: s.ffill().shift(1))
     for r in pdf.itertuples():
         assert rs[r.id] == r.cum
         assert cf[r.id] == (None if pd.isna(r.prev) else r.prev)
@@ -276,3 +263,75 @@ def test_day_partitioned_layout_prunes_period_reports(spark, fx):
     assert sel.count() == P.between_days(fx["ventes"], "date_vente", "1995-03-01", "1995-03-31").count()
     assert A.revenue(v, "1995-01-01", "1995-12-31").first()[0] == A.revenue(fx["ventes"], "1995-01-01",
                                                                             "1995-12-31").first()[0]
+
+
+def test_line_tables_are_pruned_by_their_sales_day(spark, fx):
+    from tillgrid.operators import joins as J
+    root = S.write_shop({"ventes": fx["ventes"], "vente_items": fx["vente_items"]}, shared_dir(spark, "shop"), grain="month")
+    t = S.load_shop(spark, root, ["ventes", "vente_items"])
+    day = "1995-03-04"
+    lines = P.on_day(J.sale_lines(t["vente_items"], t["ventes"]), "date_vente", day)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[(.*?)\].*?PartitionFilters: \[(.*?)\]", plan)
+    assert len(scans) == 2 and all("mois" in filters for _, filters in scans)
+    assert rows(A.top_products(t["vente_items"], t["ventes"], day)) == rows(A.top_products(fx["vente_items"], fx["ventes"], day))
+    assert t["vente_items"].count() == fx["vente_items"].count()
+
+
+def test_more_than_a_thousand_lines_have_distinct_ids(spark):
+    n = 1001
+    heads = spark.createDataFrame([(1, 5.0, "especes", None, None, 0.0, 1, TS(2000, 1, 1), n), (2, 5.0, "especes", None, None, 0.0, 1, TS(2000, 1, 1), 1)],
+                                  "request_id long, total double, paiement string, mobile_operateur string, mobile_reference string, monnaie double, "
+                                  "user_id long, recu_le timestamp_ntz, n_items int")
+    lines = spark.createDataFrame([(1, i, 7, "p", 1.0, 1.0, 1.0) for i in range(n)] + [(2, 0, 7, "p", 1.0, 1.0, 1.0)],
+                                  "request_id long, pos int, produit_id long, nom_produit string, prix_unitaire double, quantite double, sous_total double")
+    out = W.record_sales(heads, lines, 100, 50)
+    assert sorted(r.id for r in out["vente_items"].collect()) == list(range(51, 51 + n + 1))
+    assert out["mouvements"].select("ref_id").distinct().count() == n + 1
+    products = mk(spark, [(7, "p", None, 1, 0, 5, None, 1)], PRODUCTS)
+    ph = heads.select("request_id", F.lit(None).cast("long").alias("fournisseur_id"), F.lit("r").alias("reference"), F.lit(None).cast("string").alias("notes"), "user_id", "recu_le")
+    pl = lines.select("request_id", "pos", "produit_id", "quantite", F.col("prix_unitaire").alias("prix_achat"))
+    bought = W.record_purchases(ph, pl, products, 100, 50)
+    assert sorted(r.id for r in bought["achat_items"].collect()) == list(range(51, 51 + n + 1))
+
+
+def test_two_changes_of_one_product_leave_one_row(spark):
+    cur = mk(spark, [(1, "a", "618", 10, 40, 9, 3, 1), (2, "b", None, 10, 7, 6, 3, 1)], PRODUCTS)
+    ch = mk(spark, [(1, 1, "a2", 1.0, 1, 1, None, "618", True), (2, 1, "a3", 1.0, 1, 1, None, "618", True), (3, 2, "b2", 1.0, 1, 1, None, None, False),
+                    (4, 2, "b3", 1.0, 1, 1, None, None, False), (5, 2, "b4", 1.0, 1, 1, None, "618", True)],
+            "request_seq long, id long, nom string, prix double, stock int, stock_alerte int, categorie_id long, code_barres string, has_code_barres boolean")
+    decided = W.upsert_products(cur, ch, 100)
+    assert [r["rejet"] for r in rows(decided, "request_seq")] == [None, None, None, None, "code_barres_duplique"]
+    assert [(r["id"], r["nom"]) for r in rows(W.apply_product_changes(cur, decided), "id")] == [(1, "a3"), (2, "b3")]
+
+
+def test_exports_print_amounts_like_the_source_and_can_be_unbounded(spark):
+    sales = mk(spark, [(i, 1234567850 + i, "especes", None, None, "validee", 0, TS(2000, 1, 1, 0, 0, i % 60), 1) for i in range(30)], SALES)
+    sales = sales.withColumn("total", (F.col("total") / 100).cast("decimal(18,2)"))
+    path = shared_dir(spark, "csv")
+    X.export_sales(sales, path, n=None)
+    parts = sorted(glob.glob(path.replace("file:", "") + "/part-*"))
+    lines = [x for p in parts for x in open(p, newline="").read().split("\r\n")[1:] if x]
+    assert len(lines) == 30 and lines[0].startswith("29,") and ",12345678.5,0.0" in lines[-1]
+    assert X.sales_export(sales, 7).count() == 7 and A.recent_sales(sales, None).count() == 30
+    js = [r[0] for r in X.rows_to_json(sales.filter("id = 0").select("id", "total", "date_vente", "mobile_operateur", "statut")).collect()]
+    assert js == ['{"id":0,"total":12345678.5,"date_vente":"2000-01-01 00:00:00","mobile_operateur":null,"statut":"validee"}']
+
+
+def test_payload_items_need_their_keys_and_purchases_take_numbers_as_text(spark):
+    full = '{"produit_id":1,"nom_produit":null,"prix_unitaire":2,"quantite":1,"sous_total":2}'
+    docs = [(1, f'{{"request_id":1,"total":2,"items":[{full}]}}'), (2, '{"request_id":2,"total":2,"items":[{"produit_id":1}]}'), (3, '{"request_id":3,"total":0,"items":[]}')]
+    tags = {r.source_id: r.rejet for r in S4.tag_payloads(spark.createDataFrame(docs, "source_id long, payload string"), "sale").collect()}
+    assert tags == {1: None, 2: "champ_manquant", 3: None}
+    doc = spark.createDataFrame([(1, '{"request_id":1,"items":[{"produit_id":"4","quantite":" 2 ","prix_achat":1.5},{"produit_id":5,"quantite":"x","prix_achat":"3"}]}')],
+                                "source_id long, payload string")
+    lines = rows(S4.parse_payloads(doc, "purchase")[1], "pos")
+    assert [(r["produit_id"], r["quantite"], r["prix_achat"]) for r in lines] == [(4, 2.0, 1.5), (5, None, 3.0)]
+
+
+def test_a_cluster_session_without_a_shared_folder_is_told_so():
+    from types import SimpleNamespace
+    from tillgrid.session import checkpoint_root
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(fake)

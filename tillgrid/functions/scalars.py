@@ -149,11 +149,3 @@ def sale_hour_minute(ts) -> Column:
 def make_barcode(n) -> Column:
     """F8: shop barcode for a catalogue index: prefix 618 + index on 10 digits."""
     return F.concat(F.lit(BARCODE_PREFIX), F.lpad(_c(n).cast("string"), BARCODE_DIGITS, "0"))
-
-
-def day(ts) -> Column:
-    return F.to_date(_c(ts))
-
-
-def money(c) -> Column:
-    return _c(c).cast("decimal(18,2)")

@@ -11,8 +11,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.functions.scalars import stock_status
-from tillgrid.operators.strategy import join_dim
 
 Dateish = dt.date | str
 
@@ -131,7 +129,7 @@ def lookup(scans: DataFrame, products: DataFrame, code_col: str = "code") -> Dat
     p = products.filter(F.col("code_barres").isNotNull()).select(
         F.col("code_barres").alias("_code"), F.col("id").alias("produit_id"),
         F.col("nom").alias("produit_nom"), F.col("stock").alias("produit_stock"))
-    j = join_dim(s, p, "_code", "left")
+    j = s.join(p, "_code", "left")
     outcome = (F.when(F.col("produit_id").isNull(), "unknown")
                 .when(F.col("produit_stock") <= 0, "out_of_stock").otherwise("ok"))
     return j.withColumn("outcome", outcome).drop("_code")
@@ -149,5 +147,7 @@ def low_stock(df: DataFrame) -> DataFrame:
             .select("id", "nom", "stock", "stock_alerte").orderBy("stock", "id"))
 
 
-def with_status(df: DataFrame) -> DataFrame:
-    return df.withColumn("statut_stock", stock_status("stock", "stock_alerte"))
+def newest(df: DataFrame, ts: str, n: int | None) -> DataFrame:
+    """Rows from the newest to the oldest; the first ``n``, or all of them when ``n`` is None."""
+    ordered = df.orderBy(F.desc(ts), F.desc("id"))
+    return ordered if n is None else ordered.limit(n)

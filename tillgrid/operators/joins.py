@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.operators.filters import Dateish, active, between_days, optional_period, valid_sales
-from tillgrid.operators.strategy import join_dim
+from tillgrid.operators.filters import Dateish, active, between_days, newest, optional_period, valid_sales
 
 COST_FALLBACK = 0.7  # Fixed value: share of the sale price assumed as cost when no purchase is known.
 
@@ -22,14 +21,14 @@ def catalog(products: DataFrame, cats: DataFrame) -> DataFrame:
     """Active products with their category name (NULL when missing or dangling)."""
     c = cats.select(F.col("id").alias("_cid"), F.col("nom").alias("categorie_nom"))
     p = active(products)
-    return join_dim(p, c, p.categorie_id == c._cid, "left").drop("_cid")
+    return p.join(c, p.categorie_id == c._cid, "left").drop("_cid")
 
 
 def journal(events: DataFrame, users: DataFrame, a: Dateish, b: Dateish) -> DataFrame:
     """Cash journal rows of [a, b] with the user's name, newest first."""
     u = users.select(F.col("id").alias("_uid"), F.col("nom").alias("utilisateur"))
     e = between_days(events, "created_at", a, b)
-    out = join_dim(e, u, e.user_id == u._uid, "left").select(
+    out = e.join(u, e.user_id == u._uid, "left").select(
         "id", "type", "evenement", "vente_id", "montant", "paiement", "operateur", "reference",
         "details", "created_at", "utilisateur")
     return out.orderBy(F.desc("created_at"), F.desc("id"))
@@ -51,8 +50,8 @@ def receipts(sales: DataFrame, items: DataFrame, ids: DataFrame | None = None) -
 
 
 def purchase_history(purchases: DataFrame, suppliers_df: DataFrame, users: DataFrame, lines: DataFrame,
-                     a: Dateish | None = None, b: Dateish | None = None, n: int = 200) -> DataFrame:
-    """Purchases with supplier name, user name and units bought; newest ``n``.
+                     a: Dateish | None = None, b: Dateish | None = None, n: int | None = 200) -> DataFrame:
+    """Purchases with supplier name, user name and units bought; newest ``n`` (None: all).
 
     The period applies only when both bounds are given (P7).
     """
@@ -60,31 +59,33 @@ def purchase_history(purchases: DataFrame, suppliers_df: DataFrame, users: DataF
     units = lines.groupBy("achat_id").agg(F.sum("quantite").alias("_units"))
     f = suppliers_df.select(F.col("id").alias("_fid"), F.col("nom").alias("fournisseur_nom"))
     u = users.select(F.col("id").alias("_uid"), F.col("nom").alias("utilisateur_nom"))
-    j = join_dim(p, f, p.fournisseur_id == f._fid, "left")
-    j = join_dim(j, u, j.user_id == u._uid, "left")
+    j = p.join(f, p.fournisseur_id == f._fid, "left")
+    j = j.join(u, j.user_id == u._uid, "left")
     j = j.join(units, j.id == units.achat_id, "left")
     out = j.select(*[F.col(c) for c in purchases.columns], "fournisseur_nom", "utilisateur_nom",
                    F.coalesce(F.col("_units"), F.lit(0)).cast("long").alias("total_articles"))
-    return out.orderBy(F.desc("date_achat"), F.desc("id")).limit(n)
+    return newest(out, "date_achat", n)
 
 
 def expense_history(expenses: DataFrame, users: DataFrame, a: Dateish | None = None,
-                    b: Dateish | None = None, n: int = 200) -> DataFrame:
-    """Expenses with the user's name; period only with both bounds; newest ``n``."""
+                    b: Dateish | None = None, n: int | None = 200) -> DataFrame:
+    """Expenses with the user's name; period only with both bounds; newest ``n`` (None: all)."""
     d = optional_period(expenses, "date_depense", a, b)
     u = users.select(F.col("id").alias("_uid"), F.col("nom").alias("utilisateur_nom"))
-    out = join_dim(d, u, d.user_id == u._uid, "left").drop("_uid")
-    return out.orderBy(F.desc("date_depense"), F.desc("id")).limit(n)
+    out = d.join(u, d.user_id == u._uid, "left").drop("_uid")
+    return newest(out, "date_depense", n)
 
 
 def sale_lines(items: DataFrame, sales: DataFrame) -> DataFrame:
     """Lines of valid sales with the sale time - the fact behind the product reports.
 
     Sales are filtered before the join; the join is a shuffle on ``vente_id``
-    (AQE splits a sale or product that dominates a partition).
+    (AQE splits a sale or product that dominates a partition). Tables written
+    by day or month join on that column too, so a later filter on it prunes both.
     """
-    v = valid_sales(sales).select(F.col("id").alias("vente_id"), "date_vente")
-    return items.join(v, "vente_id", "inner")
+    by = [c for c in ("jour", "mois") if c in items.columns and c in sales.columns]
+    v = valid_sales(sales).select(F.col("id").alias("vente_id"), "date_vente", *by)
+    return items.join(v, ["vente_id", *by], "inner")
 
 
 def avg_cost(purchase_items: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ Here a rule is a pure function from (current tables, a batch of requests) to
 new rows plus decisions with a reject reason; the caller writes the outputs
 (append-only, one folder per batch id). A batch of any size is one Spark job.
 
-New ids never come from a global sort: a new row's id is the current maximum
-id (a one-row aggregate) plus the request's own sequence number, so re-running
-a batch after an executor loss gives the same ids. Stock is never updated in
+A new row's id is the current maximum id (a one-row aggregate) plus the
+request's own sequence number, a new line's the current maximum line id plus the lines
+accepted before its request plus its place (a running sum over the headers), so
+re-running a batch after an executor loss gives the same ids. Stock is never updated in
 place; it is derived from an opening balance plus signed movements.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillgrid.functions.scalars import clean_text, is_valid_operator, normalize_operator
-from tillgrid.operators.strategy import join_dim, running_sum
+from tillgrid.operators.strategy import running_sum
 from tillgrid.sources.fixtures import union_all
 from tillgrid.sources.schemas import DEFAULTS, MONEY
 
@@ -155,13 +156,12 @@ def stock_on_hand(opening: DataFrame, movements: DataFrame) -> DataFrame:
 def running_balance(movements: DataFrame, opening: DataFrame) -> DataFrame:
     """Stock after each movement, per product, in (ts, kind, ref_id) order.
 
-    Chunked by hour (see ``strategy.running_sum``), so a product that gets a
-    third of all movements is still spread over many tasks.
+    Over even slices (see ``strategy.running_sum``), so a product that gets a
+    third of all movements, even at one moment, is still spread over many tasks.
     """
     code = F.create_map(*[x for k, v in MOVE_CODE.items() for x in (F.lit(k), F.lit(v))])
     m = movements.withColumn("kind_code", code[F.col("kind")])
-    r = running_sum(m, ["produit_id"], ["ts", "kind_code", "ref_id"], "delta", "_cum",
-                    chunk=F.date_trunc("hour", F.col("ts")))
+    r = running_sum(m, ["produit_id"], ["ts", "kind_code", "ref_id"], "delta", "_cum")
     o = opening.select(F.col("id").alias("produit_id"), F.col("stock").alias("_open"))
     return (r.join(o, "produit_id", "inner")
              .select("produit_id", "ts", "kind", "ref_id", "delta",
@@ -223,12 +223,20 @@ def cart_totals(lines: DataFrame, payments: DataFrame) -> DataFrame:
          .when(cash & (eff < F.col("total")), "montant_insuffisant").alias("rejet"))
 
 
-def record_sales(headers: DataFrame, lines: DataFrame, base_id: int) -> dict[str, DataFrame]:
+def _first_line_ids(accepted: DataFrame, base_line_id: int) -> DataFrame:
+    """request_id, _before: the id before the first line of each accepted request
+    (``n_items`` lines each), in request order without gaps."""
+    n = accepted.select("request_id", F.col("n_items").cast("long").alias("n_items"))
+    r = running_sum(n, [], ["request_id"], "n_items", "_upto")
+    return r.select("request_id", (F.lit(base_line_id) + F.col("_upto") - F.col("n_items")).alias("_before"))
+
+
+def record_sales(headers: DataFrame, lines: DataFrame, base_id: int, base_line_id: int = 0) -> dict[str, DataFrame]:
     """Accepted sale payloads -> sales, lines, movements and journal rows.
 
     The total is taken from the request, not recomputed; stock is not
-    checked (it may go negative). Sale id = ``base_id + request_id``; line id
-    = sale id * 1000 + position + 1.
+    checked (it may go negative). Sale id = ``base_id + request_id``; line ids
+    follow ``base_line_id`` without gaps, in request and line order.
     """
     v = validate_sales(headers)
     ok = v.filter(F.col("rejet").isNull()).withColumn("vid", F.lit(base_id) + F.col("request_id"))
@@ -237,13 +245,14 @@ def record_sales(headers: DataFrame, lines: DataFrame, base_id: int) -> dict[str
         "mobile_reference", F.lit("validee").alias("statut"),
         F.coalesce(F.col("monnaie"), F.lit(0)).cast(MONEY).alias("monnaie"),
         F.col("recu_le").alias("date_vente"), "user_id")
-    li = lines.join(ok.select("request_id", "vid", "recu_le"), "request_id", "inner")
-    items = li.select((F.col("vid") * 1000 + F.col("pos") + 1).alias("id"), F.col("vid").alias("vente_id"),
+    li = (lines.join(ok.select("request_id", "vid", "recu_le"), "request_id", "inner")
+               .join(_first_line_ids(ok, base_line_id), "request_id", "inner")
+               .withColumn("_id", F.col("_before") + F.col("pos") + 1))
+    items = li.select(F.col("_id").alias("id"), F.col("vid").alias("vente_id"),
                       "produit_id", "nom_produit", F.col("prix_unitaire").cast(MONEY).alias("prix_unitaire"),
                       F.col("quantite").cast("int").alias("quantite"),
                       F.col("sous_total").cast(MONEY).alias("sous_total"))
-    moves = _moves(li.withColumn("_id", F.col("vid") * 1000 + F.col("pos") + 1), "produit_id",
-                   -F.col("quantite").cast("int"), "recu_le", "vente", "_id")
+    moves = _moves(li, "produit_id", -F.col("quantite").cast("int"), "recu_le", "vente", "_id")
     journal = ok.select(*_journal_row(F.col("vid") * 4 + KIND_CODE["vente"], "entree", "vente", F.col("vid"),
                                       F.col("total").cast(MONEY), F.col("paiement"), F.col("mobile_operateur"),
                                       F.col("mobile_reference"), _sale_details(F.col("n_items")),
@@ -306,11 +315,11 @@ def validate_purchases(headers: DataFrame, lines: DataFrame, products: DataFrame
         F.min_by(F.col("_why"), F.when(F.col("_why").isNotNull(), F.col("pos"))).alias("_why"))
     j = headers.join(first_bad, "request_id", "left")
     rejet = F.when(F.col("_n").isNull(), "aucune_ligne").otherwise(F.col("_why"))
-    return j.withColumn("rejet", rejet).drop("_why", "_n")
+    return j.withColumn("rejet", rejet).withColumn("n_items", F.coalesce("_n", F.lit(0))).drop("_why", "_n")
 
 
-def record_purchases(headers: DataFrame, lines: DataFrame, products: DataFrame, base_id: int
-                     ) -> dict[str, DataFrame]:
+def record_purchases(headers: DataFrame, lines: DataFrame, products: DataFrame, base_id: int,
+                     base_line_id: int = 0) -> dict[str, DataFrame]:
     """Accepted purchases -> purchases, lines, movements and journal rows.
 
     Line subtotal = qty x price and the purchase total = sum of subtotals, both
@@ -320,10 +329,11 @@ def record_purchases(headers: DataFrame, lines: DataFrame, products: DataFrame,
     ok = v.filter(F.col("rejet").isNull()).withColumn("aid", F.lit(base_id) + F.col("request_id"))
     names = products.select(F.col("id").alias("produit_id"), F.col("nom").alias("nom_produit"))
     li = (lines.join(ok.select("request_id", "aid", "recu_le"), "request_id", "inner")
+               .join(_first_line_ids(ok, base_line_id), "request_id", "inner")
                .join(names, "produit_id", "left"))
     price = F.col("prix_achat").cast(MONEY)
     qty = F.col("quantite").cast("long").cast("int")
-    items = li.select((F.col("aid") * 1000 + F.col("pos") + 1).alias("id"), F.col("aid").alias("achat_id"),
+    items = li.select((F.col("_before") + F.col("pos") + 1).alias("id"), F.col("aid").alias("achat_id"),
                       "produit_id", "nom_produit", price.alias("prix_achat"), qty.alias("quantite"),
                       (qty * price).cast(MONEY).alias("sous_total"))
     totals = items.groupBy("achat_id").agg(F.sum("sous_total").cast(MONEY).alias("total"))
@@ -359,7 +369,7 @@ def upsert_products(current: DataFrame, changes: DataFrame, base_id: int) -> Dat
     stock/alert/category resets them to 0/5/NULL; only a change *without a
     barcode key* (``has_code_barres`` false) keeps the old barcode. Unknown id
     -> ``introuvable``. A non-NULL barcode held by another product, or claimed
-    by an earlier change of the batch -> ``code_barres_duplique``.
+    by an earlier change of the batch to another product -> ``code_barres_duplique``.
     Returns the changes with the resulting product row and ``rejet``.
     """
     cur = current.select(F.col("id").alias("_cid"), F.col("code_barres").alias("_ccb"),
@@ -376,11 +386,12 @@ def upsert_products(current: DataFrame, changes: DataFrame, base_id: int) -> Dat
     unknown = ~is_insert & F.col("_cid").isNull()
     held = F.col("_cb").isNotNull() & F.col("_holder").isNotNull() & (F.col("_holder") != F.col("_target"))
     c = c.withColumn("_unknown", unknown).withColumn("_held", held)
-    # Among the remaining claims on one barcode, the earliest change wins.
+    # Among the remaining claims on one barcode, the product of the earliest one wins;
+    # that product's own later changes may keep it.
     firsts = (c.filter(F.col("_cb").isNotNull() & ~F.col("_held") & ~F.col("_unknown"))
-               .groupBy("_cb").agg(F.min("request_seq").alias("_first")))
+               .groupBy("_cb").agg(F.min_by("_target", "request_seq").alias("_first")))
     c = c.join(firsts, "_cb", "left")
-    dup = F.col("_held") | (F.col("_cb").isNotNull() & (F.col("request_seq") != F.col("_first")))
+    dup = F.col("_held") | (F.col("_cb").isNotNull() & (F.col("_target") != F.col("_first")))
     rejet = F.when(F.col("_unknown"), "introuvable").when(dup, "code_barres_duplique")
     d = DEFAULTS["produits"]
     return c.select(
@@ -395,9 +406,19 @@ def upsert_products(current: DataFrame, changes: DataFrame, base_id: int) -> Dat
 
 
 def apply_product_changes(current: DataFrame, decided: DataFrame) -> DataFrame:
-    """The product table after W9: accepted updates replace rows, inserts are appended."""
-    ok = decided.filter(F.col("rejet").isNull()).drop("request_seq", "action", "rejet")
-    cols = ["id", "nom", "code_barres", "prix", "stock", "stock_alerte", "categorie_id", "actif"]
+    """The product table after W9: the last accepted change of a product replaces its row, inserts are appended."""
+    return _replaced(current, decided, ["id", "nom", "code_barres", "prix", "stock", "stock_alerte", "categorie_id", "actif"])
+
+
+def apply_supplier_changes(current: DataFrame, decided: DataFrame) -> DataFrame:
+    """The supplier table after W13, by the same rule."""
+    return _replaced(current, decided, ["id", "nom", "contact", "telephone", "email", "adresse", "actif", "created_at"])
+
+
+def _replaced(current: DataFrame, decided: DataFrame, cols: list[str]) -> DataFrame:
+    rest = [c for c in cols if c != "id"]
+    ok = (decided.filter(F.col("rejet").isNull()).groupBy("id")
+                 .agg(F.max_by(F.struct(*rest), "request_seq").alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest]))
     kept = current.join(ok.select(F.col("id").alias("_id")), current.id == F.col("_id"), "left_anti")
     return kept.select(*cols).unionByName(ok.select(*cols))
 
@@ -405,7 +426,7 @@ def apply_product_changes(current: DataFrame, decided: DataFrame) -> DataFrame:
 def soft_delete(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Set ``actif = 0`` for the given ids; unknown ids do nothing."""
     hit = ids.select(F.col("id").alias("_did")).distinct().withColumn("_hit", F.lit(True))
-    j = join_dim(df, hit, df.id == hit._did, "left")
+    j = df.join(hit, df.id == hit._did, "left")
     return j.withColumn("actif", F.when(F.col("_hit"), F.lit(0)).otherwise(F.col("actif"))).drop("_did", "_hit")
 
 
@@ -424,7 +445,7 @@ def insert_if_absent(current: DataFrame, new: DataFrame, base_id: int, key: str
 def delete_by_id(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Hard delete by id (children keep the dangling id)."""
     gone = ids.select(F.col("id").alias("_did")).distinct()
-    return join_dim(df, gone, df.id == gone._did, "left_anti")
+    return df.join(gone, df.id == gone._did, "left_anti")
 
 
 def upsert_suppliers(current: DataFrame, changes: DataFrame, base_id: int) -> DataFrame:

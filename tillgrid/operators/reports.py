@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillgrid.functions.scalars import hour_text, stock_status
-from tillgrid.operators.filters import Dateish, _d, active, between_days, on_day, valid_sales
+from tillgrid.operators.filters import Dateish, _d, active, between_days, newest, on_day, valid_sales
 from tillgrid.operators.joins import sale_lines, with_cost
-from tillgrid.operators.strategy import join_dim, top_k_per_group
 
 COVER_DAYS = 10  # Fixed value: days of sales a reorder should cover.
 MOVER_DAYS = 7   # Fixed value: the fast-mover window and divisor.
@@ -56,7 +55,7 @@ def daily_sales(sales: DataFrame, as_of: Dateish, days: int = MOVER_DAYS) -> Dat
     (more if later-dated rows exist); days without sales are absent.
     """
     v = valid_sales(sales).filter(F.col("date_vente") >= _midnight(_d(as_of) - dt.timedelta(days=days)))
-    return v.groupBy(F.to_date("date_vente").alias("jour")).agg(F.sum("total").alias("total"))
+    return v.groupBy(F.to_date("date_vente").alias("jour")).agg(F.sum("total").alias("total")).orderBy("jour")
 
 
 def daily_stats(sales: DataFrame, d: Dateish | None = None) -> DataFrame:
@@ -117,8 +116,9 @@ def top_products_per_day(items: DataFrame, sales: DataFrame, n: int = 5) -> Data
     """A8 for every day in one job, with ``rang`` 1..n per day."""
     lines = sale_lines(items, sales).withColumn("jour", F.to_date("date_vente"))
     totals = _product_totals(lines, "jour", "nom_produit")
-    return top_k_per_group(totals, ["jour"], [F.desc("quantite"), F.asc("nom_produit")], n,
-                           salt_cols=["nom_produit"])
+    # The engine ranks inside every task first and shuffles at most n rows of a day from each.
+    rank = F.row_number().over(Window.partitionBy("jour").orderBy(F.desc("quantite"), F.asc("nom_produit")))
+    return totals.withColumn("rang", rank).filter(F.col("rang") <= n)
 
 
 def revenue(sales: DataFrame, a: Dateish, b: Dateish) -> DataFrame:
@@ -152,7 +152,7 @@ def by_cashier(events: DataFrame, users: DataFrame, a: Dateish, b: Dateish) -> D
     e = between_days(events.filter(F.col("evenement") == "vente"), "created_at", a, b)
     g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("nb"), _sum0("montant", "total"))
     u = users.select(F.col("id").alias("_uid"), F.col("nom").alias("caissier"))
-    out = join_dim(g, u, g.user_id == u._uid, "left").select("user_id", "caissier", "nb", "total")
+    out = g.join(u, g.user_id == u._uid, "left").select("user_id", "caissier", "nb", "total")
     return out.orderBy(F.desc("total"), F.asc_nulls_first("user_id"))
 
 
@@ -263,6 +263,6 @@ def counts(cats: DataFrame, products: DataFrame, sales: DataFrame) -> DataFrame:
     return parts.agg(n(1).alias("categories"), n(2).alias("produits"), n(3).alias("ventes"))
 
 
-def recent_sales(sales: DataFrame, n: int = 100) -> DataFrame:
-    """K1: the ``n`` newest sales of any status."""
-    return sales.orderBy(F.desc("date_vente"), F.desc("id")).limit(n)
+def recent_sales(sales: DataFrame, n: int | None = 100) -> DataFrame:
+    """K1: the ``n`` newest sales of any status (None: all)."""
+    return newest(sales, "date_vente", n)

@@ -1,117 +1,66 @@
-"""Join, top-k and running-window building blocks that hold up under skew.
-
-* ``join_dim``: broadcast a dimension only after proving it has at most
-  ``max_rows`` rows (a bounded ``limit().count()`` job); otherwise a plain
-  shuffle join that AQE may still convert or split at run time.
-* ``top_k_per_group``: exact top-k per group in two rounds, so a group holding a
-  third of the rows is first cut down inside salted sub-groups.
-* ``running_sum`` / ``carry_forward``: running totals and "last non-NULL value
-  before this row" per key, computed per (key, chunk) with a carried-in offset
-  from the earlier chunks, so no key is ever a single window partition.
+"""Running totals and "last value so far" that hold up under skew.
+
+A key, an hour or the whole table may hold a third of all rows, so no window
+here is partitioned by a key alone. The input is evaluated once into a written
+table, dealt by range over the full order into even slices, and each (key,
+slice) is one window partition. What earlier slices carry into a slice comes
+from their totals: at most one row per key and slice, and one key has no more of
+them than there are slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it has at most this many rows (after
-# column pruning a row of a shop dimension is well under 1 KiB).
-DIM_BROADCAST_ROWS = 200_000
-SALT_BUCKETS = 32
-
-
-def _cols(xs: Sequence[str | Column]) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
-def row_bound_holds(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    ``limit(n + 1).count()`` stops reading once the bound is exceeded, so the
-    check stays cheap even when the answer is "no".
-    """
-    memo = getattr(df, "_tillgrid_row_bounds", None)
-    if memo is None:
-        memo = {}
-        df._tillgrid_row_bounds = memo
-    if max_rows not in memo:
-        memo[max_rows] = df.limit(max_rows + 1).count() <= max_rows
-    return memo[max_rows]
-
+from tillgrid.session import written
 
-def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
-    """Join a fact table to a dimension, broadcasting the dimension if it is proven small."""
-    if row_bound_holds(dim, max_rows):
-        dim = F.broadcast(dim)
-    return fact.join(dim, on, how)
 
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_slice``: even ranges of (keys, order), numbered in that order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The range exchange samples its input first; it samples the written table, not the plan behind it.
+    dealt = written(df, "rows").repartitionByRange(parts, *keys, *order)
+    return written(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
-def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
-                    salt_cols: Sequence[str], rank_col: str = "rang",
-                    buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Rows ranked 1..k per group under ``order`` (which must be a total order).
 
-    Round one ranks inside (group, hash(salt) % buckets) and keeps k rows each;
-    round two ranks at most ``buckets * k`` survivors per group. The result is
-    exactly the top-k of the group.
-    """
-    salt = F.pmod(F.xxhash64(*_cols(salt_cols)), F.lit(buckets))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
-    pre = (df.withColumn("_salt", salt)
-             .withColumn("_r1", F.row_number().over(w1))
-             .filter(F.col("_r1") <= k)
-             .drop("_r1", "_salt"))
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return pre.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                chunk: Column) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same key up to and including this one.
 
-    ``order`` must be a total order within a key and ``chunk`` must be
-    monotone in it (e.g. the hour of the timestamp that leads ``order``).
-    """
-    keys = list(keys)
-    d = df.withColumn("_chunk", chunk)
-    w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = d.withColumn("_inner", F.sum(value).over(w_in))
-    # Chunk totals come from the windowed rows: they are already hash-partitioned
-    # by (key, chunk), so both join sides share one exchange and the input plan
-    # is evaluated once.
-    totals = inner.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_chunk_total"))
-    w_prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk",
-                            F.coalesce(F.sum("_chunk_total").over(w_prev), F.lit(0)).alias("_offset"))
-    return (inner.join(offsets, [*keys, "_chunk"], "inner")
-                 .withColumn(out, F.col("_offset") + F.col("_inner"))
-                 .drop("_chunk", "_offset", "_inner"))
-
-
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                  chunk: Column, include_current: bool = False) -> DataFrame:
-    """``out`` = the last non-NULL ``value`` among earlier rows of the same key.
-
-    With ``include_current`` the current row counts too. Chunked like
-    ``running_sum``: the in-chunk answer falls back to the last value of
-    the nearest earlier chunk that has one.
+    ``order`` must be a total order within a key.
     """
     keys = list(keys)
-    order = list(order)
-    d = df.withColumn("_chunk", chunk)
-    end = 0 if include_current else -1
-    w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    inner = d.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))
-    # Last non-NULL value of each chunk, then the latest of those before each chunk.
+    d = sliced(df, keys, order)
+    w_in = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"),
+                            F.coalesce(F.sum("_total").over(w_prev), F.lit(0)).alias("_offset"))
+    return (d.withColumn("_inner", F.sum(value).over(w_in)).join(offsets, _same(keys), "inner")
+             .withColumn(out, F.col("_offset") + F.col("_inner")).select(*df.columns, out))
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``out`` = the last non-NULL ``value`` among earlier rows of the same key."""
+    keys, order = list(keys), list(order)
+    d = sliced(df, keys, order)
+    w_in = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # Last non-NULL value of each slice, then the latest of those before each slice.
     # max_by skips rows whose ordering is NULL, i.e. rows without a value.
     ordkey = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))
-    finals = inner.groupBy(*keys, "_chunk").agg(F.max_by(F.col(value), ordkey).alias("_final"))
-    w_prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = finals.select(*keys, "_chunk", F.last("_final", ignorenulls=True).over(w_prev).alias("_carry"))
-    return (inner.join(carried, [*keys, "_chunk"], "inner")
-                 .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry")))
-                 .drop("_chunk", "_in", "_carry"))
+    finals = d.groupBy(*keys, "_slice").agg(F.max_by(F.col(value), ordkey).alias("_final"))
+    w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = finals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"),
+                            F.last("_final", ignorenulls=True).over(w_prev).alias("_carry"))
+    return (d.withColumn("_in", F.last(value, ignorenulls=True).over(w_in)).join(carried, _same(keys), "inner")
+             .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).select(*df.columns, out))
+
+
+def _same(keys: Sequence[str]):
+    """Join condition on the slice and the keys; NULL is a key like any other."""
+    cond = F.col("_slice") == F.col("_s")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return cond

@@ -161,12 +161,13 @@ def _s6(fx):
 
 
 @q("rows_to_json", """select to_json(struct_pack(id := p.id, nom := p.nom, code_barres := p.code_barres,
-  stock := p.stock, categorie_id := p.categorie_id, categorie_nom := c.nom)) json
+  prix := cast(p.prix as double), stock := p.stock, stock_alerte := p.stock_alerte, categorie_id := p.categorie_id, actif := p.actif,
+  categorie_nom := c.nom)) json
   from produits p left join categories c on c.id = p.categorie_id where p.actif = 1""")
 def _s7(fx):
     """The product catalogue as JSON objects (NULLs kept)."""
     cat = J.catalog(fx["produits"], fx["categories"])
-    return X.rows_to_json(cat.select("id", "nom", "code_barres", "stock", "categorie_id", "categorie_nom"))
+    return X.rows_to_json(cat.select("id", "nom", "code_barres", "prix", "stock", "stock_alerte", "categorie_id", "actif", "categorie_nom"))
 
 
 # ============================================================ P: filters

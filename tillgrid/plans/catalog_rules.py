@@ -16,6 +16,7 @@ from tillgrid.sources import payloads as S4
 from tillgrid.streaming import presence as ST
 
 UNK = R.UNKNOWN_OFFSET
+AGAIN = R.AGAIN
 
 # -- sale payload batch as SQL (mirrors requests.sale_payloads after parsing) --
 SALE_HEADERS_SQL = """select id request_id, total, paiement, monnaie, user_id, date_vente recu_le,
@@ -59,14 +60,54 @@ def _w2(fx):
     return W.cart_totals(lines, pay)
 
 
-@q("record_sales", f"""select (select max(id) from ventes) + request_id id, {m('cast(total as decimal(18,2))')} total,
+RECORD_SALES_SQL = f"""select (select max(id) from ventes) + request_id id, {m('cast(total as decimal(18,2))')} total,
   paiement, mobile_operateur, mobile_reference, 'validee' statut,
   {m('cast(coalesce(monnaie, 0) as decimal(18,2))')} monnaie, {ts('recu_le')} date_vente, user_id
-  from ({VALIDATED_SQL}) x where rejet is null""")
+  from ({VALIDATED_SQL}) x where rejet is null"""
+
+
+@q("record_sales", RECORD_SALES_SQL)
 def _w3(fx):
     """Accepted payloads become new sales (ids after the current maximum)."""
+    return _recorded_sales(fx)["ventes"]
+
+
+def _recorded_sales(fx):
     headers, lines = _sale_headers(fx)
-    return W.record_sales(headers, lines, W.max_id(fx["ventes"]))["ventes"]
+    return W.record_sales(headers, lines, W.max_id(fx["ventes"]), W.max_id(fx["vente_items"]))
+
+
+SALE_ITEMS_SQL = f"""select (select max(id) from vente_items) + coalesce(before, 0) + pos + 1 id,
+    (select max(id) from ventes) + v.request_id vente_id, produit_id, nom_produit, prix_unitaire, quantite, sous_total, recu_le
+  from (select *, sum(n_items) over (order by request_id rows between unbounded preceding and 1 preceding) before
+        from ({VALIDATED_SQL}) x where rejet is null) v
+  join (select *, row_number() over (partition by vente_id order by id) - 1 pos from vente_items) i on i.vente_id = v.request_id"""
+
+
+@q("record_sales_items", f"""select cast(id as bigint) id, vente_id, produit_id, nom_produit, {m('prix_unitaire')} prix_unitaire,
+  quantite, {m('sous_total')} sous_total from ({SALE_ITEMS_SQL}) x""")
+def _w3_items(fx):
+    """The accepted sales' lines, with ids that go on without gaps."""
+    return _recorded_sales(fx)["vente_items"]
+
+
+@q("record_sales_moves", f"""select produit_id, cast(-quantite as bigint) delta, {ts('recu_le')} ts, 'vente' kind, cast(id as bigint) ref_id
+  from ({SALE_ITEMS_SQL}) x""")
+def _w3_moves(fx):
+    return _recorded_sales(fx)["mouvements"]
+
+
+@q("record_sales_journal", f"""select ((select max(id) from ventes) + request_id) * 4 id, 'entree' type, 'vente' evenement,
+    (select max(id) from ventes) + request_id vente_id, {m('cast(total as decimal(18,2))')} montant, paiement,
+    mobile_operateur operateur, mobile_reference reference, concat('Vente de ', cast(n_items as varchar), ' ligne(s)') details, user_id,
+    {ts('recu_le')} created_at from ({VALIDATED_SQL}) x where rejet is null""")
+def _w3_journal(fx):
+    return _recorded_sales(fx)["caisse_evenements"]
+
+
+@q("record_sales_rejects", f"select request_id, rejet from ({VALIDATED_SQL}) x where rejet is not null")
+def _w3_rejects(fx):
+    return _recorded_sales(fx)["rejets"]
 
 
 MOVES_SQL = """select i.produit_id, -i.quantite delta from vente_items i join ventes v on v.id = i.vente_id
@@ -97,6 +138,49 @@ def _w5(fx):
     return out["decisions"].select("request_seq", "vente_id", "outcome", "motif")
 
 
+# Every valid sale is cancelled by the first request for it.
+CANCELLED_SQL = """select id, user_id, date_vente + interval 2 day created_at,
+    case when id % 5 = 0 then 'Annulation manuelle' else 'erreur caisse' end motif from ventes where statut <> 'annulee'"""
+
+
+def _cancelled(fx, name):
+    return W.cancel_sales(R.cancel_requests(fx), fx["ventes"], fx["vente_items"])[name]
+
+
+@q("cancel_sales_rows", f"select id, id vente_id, motif, user_id, {ts('created_at')} created_at from ({CANCELLED_SQL}) c")
+def _w5_rows(fx):
+    return _cancelled(fx, "annulations_vente")
+
+
+@q("cancel_sales_table", f"""select id, {m('total')} total, paiement, mobile_operateur, mobile_reference, 'annulee' statut,
+  {m('monnaie')} monnaie, {ts('date_vente')} date_vente, user_id from ventes""")
+def _w5_table(fx):
+    return _cancelled(fx, "ventes")
+
+
+@q("cancel_sales_moves", f"""select i.produit_id, cast(i.quantite as bigint) delta, {ts('c.created_at')} ts, 'annulation' kind, i.id ref_id
+  from vente_items i join ({CANCELLED_SQL}) c on c.id = i.vente_id""")
+def _w5_moves(fx):
+    return _cancelled(fx, "mouvements")
+
+
+@q("cancel_sales_journal", f"""select c.id * 4 + 1 id, 'sortie' type, 'annulation' evenement, c.id vente_id, {m('v.total')} montant, v.paiement,
+  v.mobile_operateur operateur, v.mobile_reference reference, c.motif details, c.user_id, {ts('c.created_at')} created_at
+  from ({CANCELLED_SQL}) c join ventes v on v.id = c.id""")
+def _w5_journal(fx):
+    return _cancelled(fx, "caisse_evenements")
+
+
+@q("parse_purchase_payloads", f"""with l as (select achat_id request_id, id - achat_id * 1000 - 1 pos,
+    case when id % 23 = 0 then produit_id + {UNK} else produit_id end produit_id,
+    case when id % 17 = 0 then 0 else quantite end quantite, case when id % 19 = 0 then 0 else prix_achat end prix_achat from achat_items)
+  select request_id, cast(pos as int) pos, produit_id, {m('quantite')} quantite, {m('prix_achat')} prix_achat
+  from l where request_id in (select id from achats) and request_id % 13 <> 0""")
+def _s4_purchases(fx):
+    """S4 for purchases: numbers sent as numbers or as text; broken JSON gives no lines."""
+    return S4.parse_payloads(R.purchase_payloads(fx), "purchase")[1]
+
+
 PURCHASE_LINES_SQL = f"""select achat_id request_id, id - achat_id * 1000 - 1 pos,
     case when id % 23 = 0 then produit_id + {UNK} else produit_id end produit_id,
     case when id % 17 = 0 then 0 else quantite end quantite,
@@ -125,8 +209,38 @@ def _w6(fx):
     nullif(trim(v.reference), '') reference, nullif(trim(v.notes), '') notes, v.user_id, {ts('v.recu_le')} date_achat
   from v join t on t.request_id = v.request_id where v.rejet is null""")
 def _w7(fx):
+    return _recorded_purchases(fx)["achats"]
+
+
+def _recorded_purchases(fx):
     headers, lines = R.purchase_batches(fx)
-    return W.record_purchases(headers, lines, fx["produits"], W.max_id(fx["achats"]))["achats"]
+    return W.record_purchases(headers, lines, fx["produits"], W.max_id(fx["achats"]), W.max_id(fx["achat_items"]))
+
+
+PURCHASE_ITEMS_SQL = PURCHASE_CHECK_SQL + f""",
+  f as (select request_id, recu_le, sum(n) over (order by request_id rows between unbounded preceding and 1 preceding) before
+        from (select v.request_id, v.recu_le, b.n from v join b using (request_id) where v.rejet is null) x),
+  i as (select (select max(id) from achat_items) + coalesce(before, 0) + pos + 1 id, (select max(id) from achats) + l.request_id achat_id,
+          l.produit_id, p.nom nom_produit, cast(prix_achat as decimal(18,2)) prix_achat, cast(cast(quantite as bigint) as int) quantite, f.recu_le
+        from l join f using (request_id) left join produits p on p.id = l.produit_id)"""
+
+
+@q("record_purchases_items", PURCHASE_ITEMS_SQL + f"""
+  select cast(id as bigint) id, achat_id, produit_id, nom_produit, {m('prix_achat')} prix_achat, quantite, {m('quantite * prix_achat')} sous_total from i""")
+def _w7_items(fx):
+    """The accepted purchases' lines, with ids that go on without gaps."""
+    return _recorded_purchases(fx)["achat_items"]
+
+
+@q("record_purchases_moves", PURCHASE_ITEMS_SQL + f"""
+  select produit_id, cast(quantite as bigint) delta, {ts('recu_le')} ts, 'achat' kind, cast(id as bigint) ref_id from i""")
+def _w7_moves(fx):
+    return _recorded_purchases(fx)["mouvements"]
+
+
+@q("record_purchases_rejects", PURCHASE_CHECK_SQL + "\nselect request_id, rejet from v where rejet is not null")
+def _w7_rejects(fx):
+    return _recorded_purchases(fx)["rejets"]
 
 
 @q("record_expenses", f"""with r as (select id request_id,
@@ -141,14 +255,17 @@ def _w8(fx):
     return W.record_expenses(R.expense_requests(fx), W.max_id(fx["depenses"]))["depenses"]
 
 
-@q("upsert_products", f"""with ch as (
+PRODUCT_CHANGES_SQL = f"""with up as (
     select id * 2 request_seq, case when id % 29 = 0 then id + {UNK} else id end id, concat(nom, ' v2') nom, prix,
       case when id % 3 = 0 then null else stock + 1 end stock,
       case when id % 3 = 0 then null else stock_alerte end stock_alerte,
       case when id % 3 = 0 then null else categorie_id end categorie_id,
       case when id % 4 = 2 then concat('618', lpad(cast(id + 1 as varchar), 10, '0'))
            when id % 4 = 3 then code_barres end code_barres,
-      id % 4 <> 0 has_cb from produits
+      id % 4 <> 0 has_cb from produits),
+  ch as (select * from up
+    union all select request_seq + {AGAIN}, id, concat(nom, ' v3'), prix, stock, stock_alerte, categorie_id, code_barres, has_cb
+      from up where (request_seq // 2) % 5 = 0
     union all select id * 2 + 1, null, concat(nom, ' bis'), prix, null, null, null,
       concat(' 999', cast(id as varchar), ' '), true from produits where id % 31 = 0),
   c as (select ch.*, cur.id cid, cur.actif cactif,
@@ -158,18 +275,30 @@ def _w8(fx):
   h as (select c.*, hold.id holder, (c.id is not null and c.cid is null) unknown_id,
       coalesce(c.cb is not null and hold.id is not null and hold.id <> c.target, false) held
     from c left join produits hold on hold.code_barres = c.cb),
-  f as (select cb, min(request_seq) first_seq from h where cb is not null and not held and not unknown_id group by cb)
-  select h.request_seq, case when h.id is null then 'insert' else 'update' end action, h.target id, h.nom,
+  f as (select cb, arg_min(target, request_seq) first_target from h where cb is not null and not held and not unknown_id group by cb),
+  d as (select h.request_seq, case when h.id is null then 'insert' else 'update' end action, h.target id, h.nom,
     {m('h.prix')} prix, h.cb code_barres, cast(coalesce(h.stock, 0) as int) stock,
     cast(coalesce(h.stock_alerte, 5) as int) stock_alerte, cast(h.categorie_id as bigint) categorie_id,
     cast(case when h.id is null then 1 else h.cactif end as int) actif,
     case when h.unknown_id then 'introuvable'
-      when h.held or (h.cb is not null and h.request_seq <> f.first_seq) then 'code_barres_duplique' end rejet
-  from h left join f on f.cb = h.cb""")
+      when h.held or (h.cb is not null and h.target <> f.first_target) then 'code_barres_duplique' end rejet
+  from h left join f on f.cb = h.cb)"""
+
+
+@q("upsert_products", PRODUCT_CHANGES_SQL + "\nselect * from d")
 def _w9(fx):
     return W.upsert_products(fx["produits"], R.product_changes(fx), W.max_id(fx["produits"]))
 
 
+@q("apply_product_changes", PRODUCT_CHANGES_SQL + f"""
+  select id, nom, code_barres, {m('prix')} prix, stock, stock_alerte, categorie_id, actif from produits where id not in (select id from d where rejet is null)
+  union all select id, nom, code_barres, prix, stock, stock_alerte, categorie_id, actif from d where rejet is null
+  qualify row_number() over (partition by id order by request_seq desc) = 1""")
+def _w9_table(fx):
+    """The product table after the batch; of several changes to a product the last accepted one holds."""
+    return W.apply_product_changes(fx["produits"], _w9(fx))
+
+
 @q("soft_delete", """select id, nom, case when id % 4 = 0 then 0 else actif end actif from fournisseurs""")
 def _w10(fx):
     """Every 4th supplier deleted, plus ids that do not exist (no effect)."""
@@ -199,13 +328,15 @@ def _w12(fx):
     return catalog(fx["produits"], left).select("id", "nom", "categorie_id", "categorie_nom")
 
 
-@q("upsert_suppliers", f"""with ch as (
+SUPPLIER_CHANGES_SQL = f"""with up as (
     select id * 2 request_seq, case when id % 10 = 0 then id + {UNK} else id end id,
       case when id % 6 = 0 then '  ' else concat(nom, ' ') end nom, concat(' c', cast(id as varchar), ' ') contact,
-      '' telephone, cast(null as varchar) email, ' Abidjan ' adresse, cast(null as timestamp) recu_le from fournisseurs
+      '' telephone, cast(null as varchar) email, ' Abidjan ' adresse, cast(null as timestamp) recu_le from fournisseurs),
+  ch as (select * from up
+    union all select request_seq + {AGAIN}, id, nom, ' second ', telephone, email, adresse, recu_le from up where (request_seq // 2) % 7 = 0
     union all select id * 2 + 1, null, concat(nom, ' bis'), null, null, 'x@y.z', null, timestamp '2000-01-01 00:00:00'
-      from fournisseurs where id % 9 = 0)
-  select ch.request_seq, case when ch.id is null then 'insert' else 'update' end action,
+      from fournisseurs where id % 9 = 0),
+  d as (select ch.request_seq, case when ch.id is null then 'insert' else 'update' end action,
     case when ch.id is null then (select max(id) from fournisseurs) + ch.request_seq else ch.id end id,
     nullif(trim(ch.nom), '') nom, nullif(trim(ch.contact), '') contact, nullif(trim(ch.telephone), '') telephone,
     nullif(trim(ch.email), '') email, nullif(trim(ch.adresse), '') adresse,
@@ -213,11 +344,24 @@ def _w12(fx):
     {ts('case when ch.id is null then ch.recu_le end')} created_at,
     case when nullif(trim(ch.nom), '') is null then 'nom_requis' when ch.id is not null and cur.id is null
       then 'sans_effet' end rejet
-  from ch left join fournisseurs cur on cur.id = ch.id""")
+  from ch left join fournisseurs cur on cur.id = ch.id)"""
+
+
+@q("upsert_suppliers", SUPPLIER_CHANGES_SQL + "\nselect * from d")
 def _w13(fx):
     return W.upsert_suppliers(fx["fournisseurs"], R.supplier_changes(fx), W.max_id(fx["fournisseurs"]))
 
 
+@q("apply_supplier_changes", SUPPLIER_CHANGES_SQL + f"""
+  select id, nom, cast(null as varchar) contact, cast(null as varchar) telephone, cast(null as varchar) email,
+    cast(null as varchar) adresse, actif, cast(null as varchar) created_at from fournisseurs where id not in (select id from d where rejet is null)
+  union all select id, nom, contact, telephone, email, adresse, actif, created_at from d where rejet is null
+  qualify row_number() over (partition by id order by request_seq desc) = 1""")
+def _w13_table(fx):
+    """The supplier table after the batch."""
+    return W.apply_supplier_changes(fx["fournisseurs"], _w13(fx))
+
+
 @q("add_categories", """select id, nom, couleur from categories
   union all select (select max(id) from categories) + min(p_partkey), p_brand, '#22c55e' from part group by p_brand""")
 def _w14(fx):
@@ -226,7 +370,7 @@ def _w14(fx):
 
 @q("restock", f"""select l_partkey produit_id, cast(cast(l_quantity - 25 as double) as bigint) delta,
   {ts('l_shipdate')} ts, 'reappro' kind from lineitem
-  where l_returnflag = 'A' and cast(cast(l_quantity - 25 as double) as bigint) > 0""")
+  where cast(cast(l_quantity - 25 as double) as bigint) > 0""")
 def _w15(fx):
     moves, _ = W.restock(R.restock_requests(fx))
     return moves.select("produit_id", "delta", "ts", "kind")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillgrid.sources.fixtures import ShopFixture
 
 UNKNOWN_OFFSET = 1_000_000_000
+AGAIN = 1_000_000_000  # added to a request_seq: the second change of the same row
 
 
 def sale_payloads(fx: ShopFixture) -> DataFrame:
@@ -81,6 +82,23 @@ def purchase_batches(fx: ShopFixture) -> tuple[DataFrame, DataFrame]:
     return headers, lines
 
 
+def purchase_payloads(fx: ShopFixture) -> DataFrame:
+    """One JSON purchase request per header of ``purchase_batches``; every other
+    line sends its numbers as text, every 13th purchase is broken JSON."""
+    headers, lines = purchase_batches(fx)
+    text = F.col("pos") % 2 == 0
+    item = F.when(text, F.to_json(F.struct(F.col("produit_id").cast("string").alias("produit_id"), F.col("quantite").cast("int").cast("string").alias("quantite"),
+                                           F.format_string(" %s ", F.col("prix_achat")).alias("prix_achat")))
+                  ).otherwise(F.to_json(F.struct("produit_id", "quantite", "prix_achat")))
+    items = lines.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))).alias("_items"))
+    j = headers.join(items, "request_id", "left")
+    head = F.to_json(F.struct("request_id", "fournisseur_id", "reference", "notes", "user_id", "recu_le"))
+    body = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"items":['),
+                    F.coalesce(F.array_join(F.transform("_items", lambda x: x["i"]), ","), F.lit("")), F.lit("]}"))
+    doc = F.when(F.col("request_id") % 13 == 0, F.substr(body, F.lit(1), F.length(body) - 4)).otherwise(body)
+    return j.withColumn("_head", head).select(F.col("request_id").alias("source_id"), doc.alias("payload"))
+
+
 def expense_requests(fx: ShopFixture) -> DataFrame:
     d = fx["depenses"]
     k = F.col("id")
@@ -117,7 +135,10 @@ def product_changes(fx: ShopFixture) -> DataFrame:
         F.lit(None).cast("int").alias("stock"), F.lit(None).cast("int").alias("stock_alerte"),
         F.lit(None).cast("long").alias("categorie_id"),
         F.concat(F.lit(" 999"), k.cast("string"), F.lit(" ")).alias("code_barres"), F.lit(True).alias("has_code_barres"))
-    return upd.unionByName(ins)
+    # A second change of every 5th product: the same barcode keys, a new name.
+    again = upd.filter((F.col("request_seq") / 2) % 5 == 0).withColumns(
+        {"request_seq": F.col("request_seq") + AGAIN, "nom": F.concat(F.col("nom"), F.lit(" v3"))})
+    return upd.unionByName(ins).unionByName(again)
 
 
 def supplier_changes(fx: ShopFixture) -> DataFrame:
@@ -135,7 +156,9 @@ def supplier_changes(fx: ShopFixture) -> DataFrame:
         F.lit(None).cast("string").alias("telephone"), F.lit("x@y.z").alias("email"),
         F.lit(None).cast("string").alias("adresse"),
         F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").alias("recu_le"))
-    return upd.unionByName(ins)
+    again = upd.filter((F.col("request_seq") / 2) % 7 == 0).withColumns(
+        {"request_seq": F.col("request_seq") + AGAIN, "contact": F.lit(" second ")})
+    return upd.unionByName(ins).unionByName(again)
 
 
 def catalogue_rows(fx: ShopFixture) -> DataFrame:
@@ -156,8 +179,7 @@ def new_categories(fx: ShopFixture) -> DataFrame:
 
 
 def restock_requests(fx: ShopFixture) -> DataFrame:
-    li = fx.raw("lineitem").filter(F.col("l_returnflag") == "A")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+    return fx.raw("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
                      F.col("l_partkey").alias("produit_id"),
                      (F.col("l_quantity") - 25).alias("quantite"), F.col("l_shipdate").alias("recu_le"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from measured shuffle sizes,
 # coalesces small partitions and splits skewed ones (a hot product or a hot
@@ -68,3 +68,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (one per run)."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: evaluated once, and
+    readable by every executor whichever of them is lost."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillgrid.operators.strategy import join_dim
 from tillgrid.sources.schemas import MONEY
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -71,7 +70,7 @@ class ShopFixture:
         part = self.raw("part")
         cat = self["categories"].select(F.col("id").alias("_cat_id"), F.col("nom").alias("_cat_nom"))
         k = F.col("p_partkey")
-        return join_dim(part, cat, part.p_type == cat._cat_nom, "left").select(
+        return part.join(cat, part.p_type == cat._cat_nom, "left").select(
             k.alias("id"),
             F.col("p_name").alias("nom"),
             F.when(k % 7 == 0, F.lit(None).cast("string"))

@@ -61,38 +61,45 @@ LATE_COLUMNS: dict[str, list[str]] = {
 DAY_PARTITIONED = {"ventes": "date_vente", "achats": "date_achat", "depenses": "date_depense",
                    "annulations_vente": "created_at", "caisse_evenements": "created_at"}
 PARTITION_COLS = {"day": "jour", "month": "mois"}
-PARTITION_COL = "jour"
+# Line tables carry their parent's day or month: (parent, its id on the line).
+LINE_PARENTS = {"vente_items": ("ventes", "vente_id"), "achat_items": ("achats", "achat_id")}
 
 
 def load_shop(spark: SparkSession, path: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
     """Read the shop tables (one Parquet folder per table) with explicit schemas.
 
-    Older files that lack late columns are evolved (S3) on read; the
-    scan never infers a schema, so a 100 TB table costs no inference pass.
-    Day-partitioned facts keep their ``jour`` partition column, which the
-    date filters use for partition pruning.
+    The scan is given the declared schema, so no footer is read to plan it; columns
+    an older file lacks come back NULL and are evolved (S3). Partitioned
+    tables keep their ``jour`` or ``mois`` column, which the date filters use for pruning.
     """
     out = {}
     for name in tables or list(SCHEMAS):
-        df = spark.read.option("mergeSchema", "true").parquet(f"{path.rstrip('/')}/{name}")
+        df = spark.read.schema(SCHEMAS[name]).parquet(f"{path.rstrip('/')}/{name}")
         out[name] = evolve_schema(df, name)
     return out
 
 
 def write_shop(tables: dict[str, DataFrame], path: str, mode: str = "overwrite", grain: str = "day") -> str:
-    """Write shop tables for ``load_shop``; facts partitioned by day.
+    """Write shop tables for ``load_shop``; facts and their lines partitioned by day or month.
+
+    Lines get their parent's day, so the parent table must be among ``tables``
+    for them to be partitioned; lines without a parent go to the NULL partition.
 
     The ``rebalance`` hint lets AQE size the write tasks from the data: quiet
     days are coalesced into one file, and a day holding a third of all sales
     is split into advisory-size pieces written by many tasks.
     """
     for name, df in tables.items():
-        w = df
+        w, pcol = df, PARTITION_COLS[grain]
+        period = lambda ts: F.to_date(ts) if grain == "day" else F.trunc(F.to_date(ts), "month")
+        parent, key = LINE_PARENTS.get(name, (None, None))
         if name in DAY_PARTITIONED:
-            pcol = PARTITION_COLS[grain]
-            d = F.to_date(F.col(DAY_PARTITIONED[name]))
-            w = (df.withColumn(pcol, d if grain == "day" else F.trunc(d, "month"))
-                   .hint("rebalance", pcol))
+            w = df.withColumn(pcol, period(DAY_PARTITIONED[name]))
+        elif parent in tables:
+            days = tables[parent].select(F.col("id").alias(key), period(DAY_PARTITIONED[parent]).alias(pcol))
+            w = df.join(days, key, "left").select(*df.columns, pcol)
+        if pcol in w.columns:
+            w = w.hint("rebalance", pcol)
             w.write.mode(mode).partitionBy(pcol).parquet(f"{path.rstrip('/')}/{name}")
         else:
             w.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")

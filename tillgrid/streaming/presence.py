@@ -6,9 +6,9 @@ offline does nothing; so only transitions move the online count.
 
 Events of one connection are ordered by (ts, id). The "previous state" of an
 event is the kind of the last earlier join/disconnect of its connection, found
-with ``strategy.carry_forward`` chunked by hour, so one very busy connection
+with ``strategy.carry_forward`` over even slices, so one very busy connection
 does not become a single window partition. The global online count is a
-running sum chunked the same way.
+running sum over slices of the same kind.
 """
 
 from __future__ import annotations
@@ -22,16 +22,12 @@ ORDER = ["ts", "id"]
 TS_MICRO = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def _hour(c="ts"):
-    return F.date_trunc("hour", F.col(c))
-
-
 def with_previous_state(events: DataFrame) -> DataFrame:
     """Adds ``prev_kind`` / ``prev_name``: kind and user name of the last earlier
     join or disconnect of the same connection (NULL before the first one)."""
     e = events.withColumn("_state", F.when(F.col("kind") != "message",
                                            F.struct(F.col("kind").alias("k"), F.col("username").alias("u"))))
-    e = carry_forward(e, ["conn"], ORDER, "_state", "_prev", chunk=_hour())
+    e = carry_forward(e, ["conn"], ORDER, "_state", "_prev")
     return (e.withColumn("prev_kind", F.col("_prev.k")).withColumn("prev_name", F.col("_prev.u"))
              .drop("_state", "_prev"))
 
@@ -48,7 +44,7 @@ def transitions(events: DataFrame) -> DataFrame:
 def presence_counts(events: DataFrame) -> DataFrame:
     """ST6: the number of users online after each join/disconnect."""
     t = transitions(events)
-    r = running_sum(t, [], ORDER, "delta", "en_ligne", chunk=_hour())
+    r = running_sum(t, [], ORDER, "delta", "en_ligne")
     return r.select("id", "ts", "conn", "kind", "delta", "en_ligne")
 
 
@@ -72,7 +68,7 @@ def presence_sessions(events: DataFrame) -> DataFrame:
     t = transitions(events).filter(F.col("delta") != 0)
     t = t.withColumn("_open", F.when(F.col("delta") == 1, F.struct(
         F.col("ts").alias("ts"), F.col("username").alias("u"))))
-    t = carry_forward(t, ["conn"], ORDER, "_open", "_start", chunk=_hour())
+    t = carry_forward(t, ["conn"], ORDER, "_open", "_start")
     closed = t.filter(F.col("delta") == -1).select(
         "conn", F.col("_start.u").alias("username"), F.col("_start.ts").alias("debut"), F.col("ts").alias("fin"))
     last = t.groupBy("conn").agg(F.max_by(F.struct("delta", "ts", "username"), F.struct(*ORDER)).alias("_l"))
