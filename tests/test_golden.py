@@ -273,7 +273,7 @@ def test_line_tables_are_pruned_by_their_sales_day(spark, fx):
     lines = P.on_day(J.sale_lines(t["vente_items"], t["ventes"]), "date_vente", day)
     plan = lines._jdf.queryExecution().executedPlan().toString()
     scans = re.findall(r"FileScan parquet \[(.*?)\].*?PartitionFilters: \[(.*?)\]", plan)
-    assert len(scans) == 2 and all("mois" in filters for _, filters in scans)
+    assert len(scans) >= 2 and all("mois" in filters for _, filters in scans)
     assert rows(A.top_products(t["vente_items"], t["ventes"], day)) == rows(A.top_products(fx["vente_items"], fx["ventes"], day))
     assert t["vente_items"].count() == fx["vente_items"].count()
 

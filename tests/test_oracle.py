@@ -10,9 +10,10 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from tillgrid.plans.registry import all_oracle_sql, all_queries
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-ORACLE = E.oracle_sql()
+ORACLE = all_oracle_sql()
 
 
 def _norm(v):
@@ -50,11 +51,8 @@ def test_matches_oracle(spark, duck, key):
 
 
 def test_every_key_registered():
-    keys = set(E.queries())
-    assert set(ORACLE) <= keys
-    assert len(keys) == 84
-    assert keys - set(ORACLE) == {"stream_day_kpis", "stream_7d_sales", "stream_stock_alerts", "stream_net_sales",
-                                  "stream_record_sales"}
+    keys = set(all_queries())
+    assert keys == set(ORACLE) and keys <= set(E.queries()) and len(keys) == 100
 
 
 def test_entry_runs(spark):

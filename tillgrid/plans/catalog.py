@@ -26,7 +26,8 @@ from tillgrid.plans.oracle_views import with_views
 from tillgrid.sources import export as X
 from tillgrid.sources import payloads as S4
 from tillgrid.sources import schemas as S
-from tillgrid.sources.fixtures import ShopFixture, shop
+from tillgrid.session import shared_dir
+from tillgrid.sources.fixtures import ShopFixture, shop, union_all
 from tillgrid.streaming import presence as ST
 
 # Fixed parameters of the registered queries (see FIXTURES.md section 4).
@@ -35,6 +36,9 @@ PERIOD = (dt.date(2000, 1, 1), dt.date(2000, 1, 31))
 DAY = dt.date(2000, 1, 4)
 SQL_PERIOD = "date '2000-01-01' and date '2000-01-31'"
 SQL_DAY = "date '2000-01-04'"
+# A period with more rows than the histories show.
+WIDE = (dt.date(1995, 1, 1), dt.date(2000, 1, 31))
+SQL_WIDE = "date '1995-01-01' and date '2000-01-31'"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,11 +100,26 @@ PRODUITS_OUT = f"id, nom, code_barres, {m('prix')} prix, stock, stock_alerte, ca
 @q("load_shop", f"select {VENTES_OUT} from ventes")
 def _s1(fx: ShopFixture):
     """Sales written month-partitioned to the shared folder, read back with explicit schemas."""
-    from tillgrid.session import shared_dir
     root = S.write_shop({"ventes": fx["ventes"]}, shared_dir(fx.spark, "shop"), grain="month")
     return S.load_shop(fx.spark, root, ["ventes"])["ventes"].drop("mois")
 
 
+MONEY_OF = {t: next(f.name for f in s.fields if f.dataType == S.MONEY) for t, s in S.SCHEMAS.items() if any(f.dataType == S.MONEY for f in s.fields)}
+
+
+@q("load_shop_tables", " union all ".join(
+    f"select '{t}' table_name, count(*) n, cast(sum(id) as bigint) ids, {m(f'sum({MONEY_OF[t]})') if t in MONEY_OF else 'cast(null as double)'} montant from {t}"
+    for t in S.SCHEMAS))
+def _s1_all(fx: ShopFixture):
+    """Rows, ids and amounts of all eleven tables after a round trip, line tables partitioned by their parent's month."""
+    root = S.write_shop({t: fx[t].select(*[c for c in s.fieldNames() if c in fx[t].columns]) for t, s in S.SCHEMAS.items()},
+                        shared_dir(fx.spark, "shop"), grain="month")
+    parts = [df.agg(F.lit(t).alias("table_name"), F.count("*").alias("n"), F.sum("id").alias("ids"),
+                    (F.sum(MONEY_OF[t]) if t in MONEY_OF else F.lit(None)).cast("double").alias("montant"))
+             for t, df in S.load_shop(fx.spark, root).items()]
+    return union_all(parts)
+
+
 @q("apply_defaults", f"""select id, nom, code_barres, {m('prix')} prix,
   coalesce(case when stock < 0 then null else stock end, 0) stock, 5 stock_alerte, categorie_id, 1 actif
   from produits""")
@@ -212,6 +231,13 @@ def _p7(fx):
                              "date_achat", PERIOD[0], None)
 
 
+@q("optional_period_both", f"""select id, fournisseur_id, {m('total')} total, reference, user_id,
+  {ts('date_achat')} date_achat from achats where cast(date_achat as date) between {SQL_PERIOD}""")
+def _p7_both(fx):
+    """Both bounds given -> rows of the period."""
+    return P.optional_period(fx["achats"].select("id", "fournisseur_id", "total", "reference", "user_id", "date_achat"), "date_achat", *PERIOD)
+
+
 @q("resolve_period", f"""select {VENTES_OUT} from ventes
   where cast(date_vente as date) between date '2000-01-01' and date '2000-01-31'""")
 def _p8(fx):
@@ -279,19 +305,19 @@ def _j3(fx):
   cast(coalesce(s.q, 0) as bigint) total_articles
   from achats a left join fournisseurs f on f.id = a.fournisseur_id left join users u on u.id = a.user_id
   left join (select achat_id, sum(quantite) q from achat_items group by achat_id) s on s.achat_id = a.id
-  where cast(a.date_achat as date) between {SQL_PERIOD}
+  where cast(a.date_achat as date) between {SQL_WIDE}
   order by a.date_achat desc, a.id desc limit 200""")
 def _j4(fx):
-    return J.purchase_history(fx["achats"], fx["fournisseurs"], fx["users"], fx["achat_items"], *PERIOD)
+    return J.purchase_history(fx["achats"], fx["fournisseurs"], fx["users"], fx["achat_items"], *WIDE)
 
 
 @q("expense_history", f"""select d.id, d.libelle, {m('d.montant')} montant, d.categorie, d.notes, d.user_id,
   {ts('d.date_depense')} date_depense, u.nom utilisateur_nom
   from (select id, libelle, montant, categorie, cast(null as varchar) notes, user_id, date_depense from depenses) d
   left join users u on u.id = d.user_id
-  where cast(d.date_depense as date) between {SQL_PERIOD} order by d.date_depense desc, d.id desc limit 200""")
+  where cast(d.date_depense as date) between {SQL_WIDE} order by d.date_depense desc, d.id desc limit 200""")
 def _j5(fx):
-    return J.expense_history(fx["depenses"], fx["users"], *PERIOD)
+    return J.expense_history(fx["depenses"], fx["users"], *WIDE)
 
 
 @q("sale_lines_valid", f"""select i.vente_id, i.id, i.produit_id, i.nom_produit, {m('i.prix_unitaire')} prix_unitaire,
@@ -448,11 +474,12 @@ def _a17(fx):
     return A.owner_kpis(fx["ventes"], fx["depenses"], fx["achats"], *PERIOD)
 
 
-FAST_AS_WRITTEN_SQL = """select p.id, p.nom, p.stock, p.stock_alerte, cast(coalesce(sum(i.quantite), 0) as bigint) qte_7j,
-    round(cast(coalesce(sum(i.quantite), 0) as decimal(38,0)) / 7, 2) moyenne_jour
-  from produits p left join vente_items i on i.produit_id = p.id
+FAST_AS_WRITTEN_SQL = """select p.id, p.nom, p.stock, p.stock_alerte, cast(coalesce(sum(vi.quantite), 0) as bigint) qte_7j,
+    round(cast(coalesce(sum(vi.quantite), 0) as decimal(38,0)) / 7, 2) moyenne_jour
+  from produits p left join vente_items vi on vi.produit_id = p.id
+  left join ventes v on v.id = vi.vente_id and v.statut = 'validee' and v.date_vente >= timestamp '2000-01-24 00:00:00'
   where p.actif = 1 group by p.id, p.nom, p.stock, p.stock_alerte
-  having coalesce(sum(i.quantite), 0) > 0 order by qte_7j desc, p.id limit 12"""
+  having coalesce(sum(vi.quantite), 0) > 0 order by qte_7j desc, p.id limit 12"""
 
 
 @q("fast_movers_as_written", f"select id, nom, stock, stock_alerte, qte_7j, {m('moyenne_jour')} moyenne_jour "
