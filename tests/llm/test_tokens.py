@@ -27,15 +27,18 @@ def whole(form):
 @pytest.mark.parametrize("form", FILES)
 def test_parts_give_the_ids_of_the_whole_text(form):
     enc, ref = PartEncoder.load(tokenizer_path(FILES[form]), form), whole(form)
-    for t in [*TEXTS, " ".join(TEXTS), "\n".join(TEXTS)]:
-        assert enc.encode(t) == ref(t).tobytes(), t
+    texts = [*TEXTS, " ".join(TEXTS), "\n".join(TEXTS)]
+    for batch in (texts, *([t] for t in texts), []):
+        ids, counts = enc.encode(batch, 7)
+        want = [[*ref(t).tolist(), 7] for t in batch]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w], batch
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n'sStTrReEléÉß09.,_-!\t ́Σσ"), st.characters(codec="utf-8")), max_size=40))
 def test_any_text(t):
     for form in FILES:
-        assert PartEncoder.load(tokenizer_path(FILES[form]), form).encode(t) == whole_cached(form)(t).tobytes()
+        assert PartEncoder.load(tokenizer_path(FILES[form]), form).encode([t], 0)[0].tolist() == [*whole_cached(form)(t).tolist(), 0]
 
 
 @functools.cache

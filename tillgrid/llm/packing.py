@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillgrid.llm.common import parts_for, settle, whole_text
-from tillgrid.llm.tokens import PartEncoder
+from tillgrid.llm.tokens import BATCH, PartEncoder
 
 CAPACITY = 2048
 #: Pieces packed together by one task. A task leaves a few sequences part empty,
@@ -29,15 +29,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        enc, end, step = PartEncoder.load(tokenizer, form), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        enc = PartEncoder.load(tokenizer, form)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = enc.encode(text) + end
-                    rows += [(doc, i, i * capacity, len(cut) // 4, cut) for i in range(-(-len(ids) // step))
-                             if (cut := ids[i * step:(i + 1) * step])]
+                ids, counts = enc.encode(part.column(1).to_pylist(), end_id)
+                ends = np.cumsum(counts).tolist()
+                for doc, end, n in zip(part.column(0).to_pylist(), ends, counts.tolist(), strict=True):
+                    first = end - n
+                    rows += [(doc, k, i, min(n - i, capacity), ids[first + i:first + min(n, i + capacity)].tobytes())
+                             for k, i in enumerate(range(0, n, capacity))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()),

@@ -66,4 +66,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.SQL, "op9_url_filter": url_filter.SQL}
+    return {"op5_decontamination": decontamination.SQL, "op9_url_filter": url_filter.SQL,
+            "op10_near_duplicates": near_duplicates.SQL}

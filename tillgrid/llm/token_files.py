@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillgrid.llm.common import parts_for, whole_text
-from tillgrid.llm.tokens import PartEncoder
+from tillgrid.llm.tokens import BATCH, PartEncoder
 
 #: Text bytes per file, row group and page sizes.
 FILE_TEXT_BYTES = 32 << 20
@@ -48,14 +48,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, form: str = "
         import pyarrow as pa
         from pyspark import TaskContext
         enc, file_no, start = PartEncoder.load(tokenizer, form), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [enc.encode(t) + end for t in part.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                ids, n = enc.encode(part.column(1).to_pylist(), end_id)
                 offsets = np.concatenate(([0], np.cumsum(n)))
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                values = pa.array(ids.view("<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.full(len(n), file_no, np.int32)), pa.array(start + offsets[:-1]),
                      pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],

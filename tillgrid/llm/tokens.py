@@ -15,14 +15,18 @@ import re
 from array import array
 
 #: Parts kept per generation of the dictionary; two generations at most are
-#: held (about 200 MB a worker).
-CACHE_PARTS = 500_000
+#: held (about 150 MB a worker).
+CACHE_PARTS = 350_000
 #: Longer parts are encoded each time: they hardly repeat and would fill the memory.
 CACHE_CHARS = 64
+#: Texts cut and looked up together.
+BATCH = 400
 
 #: White space and controls other than blank and line end.
 ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]")
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
+#: Parts the model can take as they are: one run of letters, digits or other ASCII signs, a blank before it at most.
+PART = re.compile(f" ?(?:[{LETTERS}]+|[0-9]+|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\\[-`{{-~]+)")
 #: Texts that are cut into parts.
 PLAIN = re.compile(f"[\n\x20-\x7e{LETTERS}]*")
 #: Parts, and the white-space-delimited units of other texts. In the byte-level
@@ -32,9 +36,18 @@ PARTS = {
     "spaced": f" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \n0-9{LETTERS}]+|[ \n]+(?![^ \n])|[ \n]",
     "words": f"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \n0-9{LETTERS}]+",
 }
+#: The same for ASCII texts, which are cut faster by it.
+ASCII_PARTS = {form: p.replace(LETTERS, "A-Za-z") for form, p in PARTS.items()}
 UNITS = {"spaced": r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]", "words": r"[^ \n]+"}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as one letter: printable Latin-1 as itself, the others as the letters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -56,7 +69,8 @@ class PartEncoder(dict):
         # Strings of special tokens in a text are ordinary text.
         self.tok.encode_special_tokens = True
         self.fold = str.lower if form == "words" else str
-        self.parts, self.units = re.compile(PARTS[form]).findall, re.compile(UNITS[form]).findall
+        self.parts, self.ascii_parts, self.units = (re.compile(x[form]).findall for x in (PARTS, ASCII_PARTS, UNITS))
+        self.model, self.letters = self.tok.model, _byte_letters()
         self.old: dict[str, bytes] = {}
 
     @classmethod
@@ -71,7 +85,11 @@ class PartEncoder(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
-        if ids is None:
+        if ids is None and PART.fullmatch(part):
+            # Already cut and folded: the library's model alone, on the part's bytes as letters.
+            letters = part.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        elif ids is None:
             ids = self.whole(part)
         if len(part) <= CACHE_CHARS:
             if len(self) >= CACHE_PARTS:
@@ -80,7 +98,34 @@ class PartEncoder(dict):
             self[part] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, self.parts(self.fold(text))))
-        return self.whole(text) if ODD.search(text) else b"".join(map(self.__getitem__, self.units(text)))
+            return (self.ascii_parts if text.isascii() else self.parts)(self.fold(text))
+        if ODD.search(text):
+            return [text]
+        out: list[str] = []
+        for unit in self.units(text):
+            out += self.parts(self.fold(unit)) if PLAIN.fullmatch(unit) else [unit]
+        return out
+
+    def encode(self, texts: list[str], end_id: int):
+        """Ids of all ``texts`` one after the other, each with ``end_id`` after it, and how many each has.
+
+        The batch's distinct parts are looked up once each; Arrow copies their ids to all places."""
+        import numpy as np
+        import pyarrow as pa
+        parts: list[str] = []
+        n_parts = []
+        for t in texts:
+            cut = self._cut(t)
+            parts += cut
+            n_parts.append(len(cut))
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        own = pa.array([self[p] for p in coded.dictionary.to_pylist()], pa.large_binary())
+        ids = own.take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) // 4 if len(ids) else np.zeros(1, np.int64)
+        data = ids.buffers()[2] if len(ids) else None
+        values = np.frombuffer(data, "<u4") if data is not None and data.size else np.empty(0, "<u4")
+        ends = at[np.cumsum(n_parts)] if texts else np.empty(0, np.int64)
+        counts = np.diff(np.concatenate((at[:1], ends))) + 1
+        return np.insert(values[at[0]:at[-1]], ends - at[0], end_id), counts
