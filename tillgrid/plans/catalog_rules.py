@@ -187,7 +187,7 @@ PURCHASE_LINES_SQL = f"""select achat_id request_id, id - achat_id * 1000 - 1 po
     case when id % 19 = 0 then 0 else prix_achat end prix_achat from achat_items"""
 
 PURCHASE_CHECK_SQL = f"""with h as (select id request_id, fournisseur_id, reference, notes, user_id, date_achat recu_le from achats
-    union all select -id, fournisseur_id, reference, notes, user_id, date_achat from achats where id % 11 = 0),
+    union all select -id, fournisseur_id, reference, notes, user_id, date_achat from achats where id % 11 = 0 and id <> 0),
   l as ({PURCHASE_LINES_SQL}),
   c as (select l.*, case when produit_id is null or produit_id = 0 or quantite <= 0 or prix_achat <= 0
           then 'lignes_invalides' when p.id is null then 'produit_introuvable' end why

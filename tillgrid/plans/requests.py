@@ -72,7 +72,7 @@ def purchase_batches(fx: ShopFixture) -> tuple[DataFrame, DataFrame]:
     a, li = fx["achats"], fx["achat_items"]
     hcols = ["fournisseur_id", "reference", "notes", "user_id", F.col("date_achat").alias("recu_le")]
     headers = (a.select(F.col("id").alias("request_id"), *hcols)
-                .unionByName(a.filter(F.col("id") % 11 == 0).select((-F.col("id")).alias("request_id"), *hcols)))
+                .unionByName(a.filter((F.col("id") % 11 == 0) & (F.col("id") != 0)).select((-F.col("id")).alias("request_id"), *hcols)))
     k = F.col("id")
     lines = li.select(
         F.col("achat_id").alias("request_id"), (k - F.col("achat_id") * 1000 - 1).cast("int").alias("pos"),
