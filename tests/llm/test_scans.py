@@ -149,6 +149,37 @@ def test_licences(spark, edge, no_documents):
     assert licences.report(edge).filter("n_found > 0").count() == 0 and licences.report(no_documents).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "GPL": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "BSD": """ * Redistribution and use in source and binary
+ * forms, with or without modification, are
+ * permitted provided that the following
+ * conditions are met:""",
+}
+
+
+def test_wrapped_licences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    both = WRAPPED["MIT"] + "\n" + WRAPPED["BSD"] + "\nReleased under the\r\nMIT License.\r\nLicensed under\r\nCC BY 4.0."
+    cases = [*WRAPPED.items(), ("BSD,CC-BY,MIT", both), ("CC-BY-NC", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."),
+             ("", WRAPPED["BSD"].replace("\n", "\n\n")), ("MIT", "Released under the MIT License.\nReleased under the MIT License.")]
+    extra = spark.createDataFrame([(-1 - i, f"Some words before.\n{t}\nand after") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(extra, licences.train(docs)).collect()}
+    assert [",".join(got[-1 - i].families) for i in range(len(cases))] == [f for f, _ in cases]
+    assert [got[-1 - i].n_found for i in range(len(cases))] == [1, 1, 1, 4, 1, 0, 2]
+
+
 URLS = [None, "", "no scheme", "http://Example.COM/en/x?y#z", "https://www.example.com/en/", "https://a.www.example.com/en/1", "http://notexample.com/en/", "http://x.net/fr/", "http://x.net/de/",
         "http://x.net", "http://x.net?/fr/", "http://casino.example.org/a/?utm_source=1&ref=2&p=3#q", "https://www.casino.example.org/a?p=3", "http://a.org/a://b.net/fr/", "http://com", "http://spam-x.org"]
 

@@ -1,6 +1,7 @@
 """Licence families named in texts: a trained paragraph classifier, confirmed by templates.
 
-DataFrame functions only. A paragraph is a line. Its features are the words and
+DataFrame functions only. A paragraph is a line, or a run of neighbouring lines joined, as
+notices are mostly wrapped; a blank line ends a run. Its features are the words and
 word pairs it shares with a vocabulary drawn from short licence notices. Logistic
 regressions, one for each family, are trained on pieces of the notices against paragraphs sampled from the
 corpus; Platt scaling on the held-out half of both calibrates them, and a paragraph no family reaches with the
@@ -102,6 +103,11 @@ def _pairs(text: str) -> list[str]:
     return sorted(g for g in _plain_grams(_plain_words(text)) if " " in g)
 
 
+#: All notices' word pairs, and the words over which a run's pairs may lie: twice the longest notice, as what marks comment lines may be words.
+PAIRS = sorted({p for ts in TEMPLATES.values() for t in ts for p in _pairs(t)})
+REACH = 2 * max(len(_plain_words(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 @dataclass(frozen=True)
 class Model:
     """Vocabulary, gate words, and for each family its weights, bias and Platt scale."""
@@ -226,10 +232,69 @@ def classify(line: Column, model: Model) -> Column:
     return let(grams(words_of(line)), predict)
 
 
+def _runs(lines: Column) -> Column:
+    """array<struct<a, b>>: the runs of two or more neighbouring lines, a to b from 0, whose word pairs can confirm a notice.
+
+    The pairs of notices are looked up once in all the words; a run goes from a
+    line to another that such pairs begin and end on, less than ``REACH`` words on.
+    """
+    def bare(line: Column) -> Column:
+        return F.transform(words_of(line), lambda w: F.regexp_replace(w, r"\.+$", ""))
+
+    # A blank line is one empty word, which is in no pair.
+    words = F.flatten(F.transform(lines, lambda x, i: let(bare(x), lambda ws: F.transform(
+        F.when(F.size(ws) > 0, ws).otherwise(F.array(F.lit(""))), lambda w: F.struct(w.alias("w"), i.alias("line"))))))
+
+    def hits(ws: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda p: let(F.get(ws, p), lambda x: let(F.get(ws, p + 1), lambda y: F.struct(
+            F.concat_ws(" ", x["w"], y["w"]).alias("pair"), x["line"].alias("a"), y["line"].alias("b"), p.alias("p")))))
+        return F.when(F.size(ws) > 1, F.filter(pairs, lambda x: x["pair"].isin(PAIRS)))
+
+    def confirmable(pairs: Column) -> Column:
+        out = F.lit(False)
+        for ts in TEMPLATES.values():
+            for t in ts:
+                own = _pairs(t)
+                out = out | (F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in own]))) >= CONFIRM * len(own))
+        return out
+
+    def runs(h: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.size(h) - 1)
+        last = F.filter(steps, lambda j: F.coalesce(F.get(h, j + 1)["a"] != F.get(h, j)["a"], F.lit(True)))
+
+        def ending(j: Column) -> Column:
+            near = F.slice(h, F.greatest(j + 2 - REACH, F.lit(1)), F.lit(3 * REACH))
+            ends = F.filter(F.slice(h, j + 1, F.lit(REACH)), lambda y: (y["b"] > F.get(h, j)["a"]) & (y["p"] < F.get(h, j)["p"] + REACH))
+            spans = F.transform(F.array_distinct(F.transform(ends, lambda y: y["b"])), lambda b: F.struct(F.get(h, j)["a"].alias("a"), b.alias("b")))
+            return F.filter(spans, lambda r: confirmable(F.transform(
+                F.filter(near, lambda x: (x["a"] >= r["a"]) & (x["b"] <= r["b"])), lambda x: x["pair"])) & ~F.exists(
+                    F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), lambda x: F.size(words_of(x)) == 0))
+
+        return F.flatten(F.transform(last, ending))
+
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    return let(let(words, hits), lambda h: F.when(F.size(h) > 1, runs(h)).otherwise(none))
+
+
+def _settled(found: Column) -> Column:
+    """The findings that stay, most similar and then shortest first: none that shares a line with one of its family
+    that stays, and none that is a piece of a more similar one that stays (a line of a wrapped notice can look like another family)."""
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-x["similarity"]).alias("_s"), (x["b"] - x["a"]).alias("_n"), x["a"].alias("_a"), x.alias("x"))))
+
+    def add(kept: Column, r: Column) -> Column:
+        x = r["x"]
+        beaten = F.exists(kept, lambda y: ((y["family"] == x["family"]) & (y["a"] <= x["b"]) & (y["b"] >= x["a"]))
+                          | ((y["a"] <= x["a"]) & (y["b"] >= x["b"]) & (y["similarity"] > x["similarity"])))
+        return F.when(beaten, kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(ranked, F.array().cast("array<struct<a:int,b:int,family:string,probability:double,similarity:double>>"), add)
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, families (distinct, sorted), n_found, found: array<struct<paragraph, family, probability, similarity>> per document.
 
-    Paragraphs count from 0. Whole texts are read; lines without any vocabulary
+    Paragraphs are the lines, counted from 0, and the runs of neighbouring lines, counted by their first;
+    a notice is found once, in the paragraph most similar to it. Whole texts are read; lines without any vocabulary
     word score as the bias alone, which is the unknown class, so only others are classified. A null or
     empty text has no paragraphs; repeated rows stay; further columns are not read.
     """
@@ -239,14 +304,20 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         bare = F.transform(F.split(F.lower(t), _SPLIT), lambda w: F.regexp_replace(w, r"\.+$", ""))
         return F.arrays_overlap(bare, gate)
 
+    def units(lines: Column) -> Column:
+        single = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("a"), i.alias("b"))), lambda x: touched(x["text"]))
+        joined = F.transform(_runs(lines), lambda r: F.struct(
+            F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), " ").alias("text"), r["a"].alias("a"), r["b"].alias("b")))
+        return F.concat(single, joined)
+
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double>>")
     d = docs.select("doc_id", whole_text().alias("_text"))
-    lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    d = d.select("doc_id", F.when(touched(F.col("_text")), F.filter(lines, lambda x: touched(x["line"]))).alias("_lines"))
-    found = F.filter(F.transform("_lines", lambda x: let(classify(x["line"], model), lambda c: F.struct(
-        x["at"].alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["similarity"].alias("similarity")))),
+    d = d.select("doc_id", F.when(touched(F.col("_text")), let(F.split("_text", "\n"), units)).alias("_units"))
+    found = F.filter(F.transform("_units", lambda x: let(classify(x["text"], model), lambda c: F.struct(
+        x["a"].alias("a"), x["b"].alias("b"), c["family"].alias("family"), c["probability"].alias("probability"), c["similarity"].alias("similarity")))),
         lambda x: x["family"].isNotNull())
-    return (d.select("doc_id", F.coalesce(F.when(F.size("_lines") > 0, found), none).alias("found"))
+    found = F.array_sort(F.transform(_settled(found), lambda x: F.struct(x["a"].alias("paragraph"), x["family"], x["probability"], x["similarity"])))
+    return (d.select("doc_id", F.coalesce(F.when(F.size("_units") > 0, found), none).alias("found"))
              .select("doc_id", F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))).alias("families"),
                      F.size("found").cast("long").alias("n_found"), "found"))
 
