@@ -180,6 +180,19 @@ def test_wrapped_licences(spark):
     assert [got[-1 - i].n_found for i in range(len(cases))] == [1, 1, 1, 4, 1, 0, 2]
 
 
+def test_common_licence_lines(spark):
+    # A hot source: many different lines with a notice each; and a table of one document.
+    hot = [(i, f"Copyright {1900 + i} Name{i}. Released under the MIT License.") for i in range(120)]
+    plain = [(1000 + i, f"ordinary line number {i} of a text that stands under the others and is found in the place") for i in range(200)]
+    for rows in (hot + plain, [(1, "Licensed under CC BY 4.0.")], [(1, "\n".join(t for _, t in hot))]):
+        got = {r.doc_id: r.licences for r in licences.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {d: "MIT" if "MIT" in t else "CC-BY" if "CC" in t else "" for d, t in rows}
+    for seen in ({}, {w: 10 ** 6 for w in licences.PAIRS}, {w: 10 ** 6 for w in ("mit", "license", "cc", "spdx")}):
+        gate = set(licences._gate(seen))
+        for pairs in (licences._pairs(t) for ts in licences.TEMPLATES.values() for t in ts):
+            assert sum(gate.isdisjoint(p.split(" ")) for p in pairs) < licences.CONFIRM * len(pairs)
+
+
 URLS = [None, "", "no scheme", "http://Example.COM/en/x?y#z", "https://www.example.com/en/", "https://a.www.example.com/en/1", "http://notexample.com/en/", "http://x.net/fr/", "http://x.net/de/",
         "http://x.net", "http://x.net?/fr/", "http://casino.example.org/a/?utm_source=1&ref=2&p=3#q", "https://www.casino.example.org/a?p=3", "http://a.org/a://b.net/fr/", "http://com", "http://spam-x.org"]
 

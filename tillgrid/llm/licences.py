@@ -11,7 +11,6 @@ the paragraph also shares enough word pairs with a notice of that family.
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from dataclasses import dataclass
@@ -67,8 +66,6 @@ FAMILIES = tuple(TEMPLATES)
 #: stand for the unknown class in training.
 SAMPLE_DOCS = 400
 SAMPLE_PARAGRAPHS = 4_000
-#: A vocabulary word that so large a share of the sampled paragraphs has is no feature of its own.
-COMMON = 0.01
 STEPS = 300
 RATE = 0.5
 RIDGE = 1e-3
@@ -119,42 +116,35 @@ class Model:
     scale: tuple[tuple[float, float], ...]
 
 
-def _sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-
-
-def _regression(rows: list[tuple[list[int], int]], size: int) -> tuple[list[float], float]:
-    """Weights and bias of a logistic regression on presence features, by gradient steps with class balance."""
-    n = [max(1, sum(1 for _, y in rows if y == k)) for k in (0, 1)]
-    w, b = [0.0] * size, 0.0
+def _regressions(x, y):
+    """Weights and biases, a column for each family, of logistic regressions on presence features (a row each, 0 or 1),
+    by gradient steps with class balance. ``y``: 1 where a row is of the family."""
+    import numpy as np
+    n = y.sum(axis=0)
+    share = np.where(y == 1, 1 / (2 * np.maximum(1, n)), 1 / (2 * np.maximum(1, len(y) - n)))
+    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
     for _ in range(STEPS):
-        grad, slope = [RIDGE * x for x in w], 0.0
-        for at, y in rows:
-            d = (_sigmoid(b + sum(w[i] for i in at)) - y) / (2 * n[y])
-            slope += d
-            for i in at:
-                grad[i] += d
-        w = [x - RATE * g for x, g in zip(w, grad, strict=True)]
-        b -= RATE * slope
+        d = share * (1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500))) - y)
+        w, b = w - RATE * (RIDGE * w + x.T @ d), b - RATE * d.sum(axis=0)
     return w, b
 
 
-def _platt(scores: list[tuple[float, int]]) -> tuple[float, float]:
+def _platt(scores, y) -> tuple[float, float]:
     """a, c such that sigmoid(a * score + c) is calibrated on held-out scores (targets drawn in by one half-count)."""
-    n = [sum(1 for _, y in scores if y == k) for k in (0, 1)]
-    target = [1 / (n[0] + 2), (n[1] + 1) / (n[1] + 2)]
+    import numpy as np
+    n = [int((y == k).sum()) for k in (0, 1)]
+    target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    share = np.where(y == 1, 1 / (2 * max(1, n[1])), 1 / (2 * max(1, n[0])))
     a, c = 1.0, 0.0
     for _ in range(500):
-        ga = gc = 0.0
-        for s, y in scores:
-            d = (_sigmoid(a * s + c) - target[y]) / (2 * max(1, n[y]))
-            ga, gc = ga + d * s, gc + d
-        a, c = max(1e-3, a - 0.5 * ga), c - 0.5 * gc
+        d = share * (1 / (1 + np.exp(-np.clip(a * scores + c, -500, 500))) - target)
+        a, c = max(1e-3, a - 0.5 * float((d * scores).sum())), c - 0.5 * float(d.sum())
     return a, c
 
 
 def fit(unknown: list[str], seed: int = 7) -> Model:
     """Model from the notices and ``unknown`` paragraphs; the same paragraphs give the same model."""
+    import numpy as np
     rng = random.Random(seed)
     notices: list[tuple[set[str], int]] = []
     for f, family in enumerate(FAMILIES):
@@ -167,27 +157,45 @@ def fit(unknown: list[str], seed: int = 7) -> Model:
                 around = _plain_words(rng.choice(unknown)) if unknown else []
                 k = rng.randrange(0, 6)
                 notices.append((_plain_grams([*around[:k], *piece]), f))
-    negatives = [_plain_grams(_plain_words(t)) for t in sorted(unknown)]
+    # Sampled paragraphs that are notices themselves, or pieces of wrapped ones, must not teach the opposite.
+    pairs = [set(_pairs(t)) for ts in TEMPLATES.values() for t in ts]
+    negatives = [g for g in (_plain_grams(_plain_words(t)) for t in sorted(unknown)) if not any(_of_notice(g, p) for p in pairs)]
     seen: dict[str, int] = {}
     for g in negatives:
         for x in g:
             seen[x] = seen.get(x, 0) + 1
-    own = sorted(set().union(*(_plain_grams(_plain_words(t)) for ts in TEMPLATES.values() for t in ts)))
-    vocabulary = [x for x in own if seen.get(x, 0) <= COMMON * len(negatives)]
+    # All words and pairs of the notices, common or not: the regression weights them.
+    vocabulary = sorted(set().union(*(_plain_grams(_plain_words(t)) for ts in TEMPLATES.values() for t in ts)))
     at = {x: i for i, x in enumerate(vocabulary)}
-    # Sampled paragraphs that are notices themselves must not teach the opposite.
-    pairs = [set(_pairs(t)) for ts in TEMPLATES.values() for t in ts]
-    negatives = [g for g in negatives if not any(len(p & g) >= CONFIRM * len(p) for p in pairs)]
-    rows = [(sorted(at[x] for x in g if x in at), f) for g, f in notices] + [(sorted(at[x] for x in g if x in at), -1) for g in negatives]
+    rows = [*notices, *((g, -1) for g in negatives)]
     rng.shuffle(rows)
-    learn, held = rows[::2], rows[1::2]
-    weights, bias, scale = [], [], []
-    for f in range(len(FAMILIES)):
-        w, b = _regression([(x, int(y == f)) for x, y in learn], len(vocabulary))
-        weights.append(tuple(w))
-        bias.append(b)
-        scale.append(_platt([(b + sum(w[i] for i in x), int(y == f)) for x, y in held]))
-    return Model(tuple(vocabulary), tuple(x for x in vocabulary if " " not in x), tuple(weights), tuple(bias), tuple(scale))
+    features = np.zeros((len(rows), len(vocabulary)))
+    for k, (g, _) in enumerate(rows):
+        features[k, [at[x] for x in g if x in at]] = 1
+    y = (np.array([f for _, f in rows])[:, None] == np.arange(len(FAMILIES))).astype(int)
+    w, bias = _regressions(features[::2], y[::2])
+    held = features[1::2] @ w + bias
+    scale = [_platt(held[:, f], y[1::2, f]) for f in range(len(FAMILIES))]
+    return Model(tuple(vocabulary), _gate(seen), tuple(map(tuple, w.T.tolist())), tuple(bias.tolist()), tuple(scale))
+
+
+def _of_notice(grams: set[str], pairs: set[str]) -> bool:
+    """Whether a paragraph has enough pairs of a notice, or consists of them for the most part."""
+    own, shared = sum(" " in g for g in grams), len(pairs & grams)
+    return shared >= CONFIRM * len(pairs) or (own >= 3 and 2 * shared >= own)
+
+
+def _gate(seen: dict[str, int]) -> tuple[str, ...]:
+    """Words of which every paragraph has one that can be confirmed, whatever was sampled: fewer than the share needed of each
+    notice's pairs are without them. ``seen``, how many sampled paragraphs have a word, only chooses the rarer ones."""
+    gate: set[str] = set()
+    for ts in TEMPLATES.values():
+        for pairs in map(_pairs, ts):
+            for w in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (seen.get(w, 0), w)):
+                if sum(gate.isdisjoint(p.split(" ")) for p in pairs) < CONFIRM * len(pairs):
+                    break
+                gate.add(w)
+    return tuple(sorted(gate))
 
 
 def train(docs: DataFrame) -> Model:
@@ -294,8 +302,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, families (distinct, sorted), n_found, found: array<struct<paragraph, family, probability, similarity>> per document.
 
     Paragraphs are the lines, counted from 0, and the runs of neighbouring lines, counted by their first;
-    a notice is found once, in the paragraph most similar to it. Whole texts are read; lines without any vocabulary
-    word score as the bias alone, which is the unknown class, so only others are classified. A null or
+    a notice is found once, in the paragraph most similar to it. Whole texts are read; lines without any gate
+    word have too few of any notice's pairs to be confirmed, so only others are classified. A null or
     empty text has no paragraphs; repeated rows stay; further columns are not read.
     """
     gate = F.array(*[F.lit(x) for x in model.gate])
