@@ -72,6 +72,16 @@ def test_near_duplicates_edges(spark, edge, no_documents):
     assert kept.columns == edge.columns and kept.filter("doc_id in (9, 11)").count() == 0
 
 
+def test_estimate_misses_no_more_than_stated():
+    from fractions import Fraction
+    from math import comb
+    k = near_duplicates.SKETCH
+    for percent in (50, 80, 85, 95):
+        t, least = Fraction(percent, 100), round(near_duplicates.least_estimate(percent) * k)
+        below = [sum(comb(k, i) * t ** i * (1 - t) ** (k - i) for i in range(c)) for c in (least, least + 1)]
+        assert below[0] <= Fraction(1, 3_000_000) < below[1]
+
+
 def test_near_duplicates_groups(spark, monkeypatch):
     """Groups whose copies drift apart, chains, and a passage that all documents share; also with long lists in several blocks."""
     rng = random.Random(5)

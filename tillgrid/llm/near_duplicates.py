@@ -14,7 +14,8 @@ Short lists are paired off. In a long list every node meets the list's most
 central one, which links a group of copies in a linear number of pairs; only nodes that
 stay apart from the list's largest component then meet the whole list, in blocks
 of bounded size that emit links and no pairs. No list, component or neighbourhood is ever gathered
-in one place, and no value, partner or candidate is dropped.
+in one place. Of pairs that meet in a short list only and have a text beyond the sketch size, the estimate
+loses a true link with a stated chance (``MISS``) at most; no other value, partner or candidate is dropped.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from tillgrid.llm.components import components
 
 WORDS = 5
 SKETCH = 96
-#: Standard deviations of the sketch estimate that a linked pair may lie below the
-#: threshold: one true link in about three million is estimated lower.
-SLACK = 5.0
+#: Chance at most that the sketch estimate misses a link at the threshold, by the exact binomial tail
+#: (values of a sketch are drawn without replacement, which makes the tail lighter).
+MISS = 1 / 3_000_000
 #: Lists up to this size are paired off; nodes to a side of a block of a longer one.
 SHORT_LIST = 32
 BLOCK = 512
@@ -80,8 +81,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def least_estimate(percent: int) -> float:
-    t = percent / 100
-    return t - SLACK * math.sqrt(t * (1 - t) / SKETCH)
+    """The largest share of a sketch that fewer values fall below, at the threshold, with a chance of at most ``MISS``."""
+    t, tail = percent / 100, 0.0
+    for c in range(SKETCH + 1):
+        tail += math.comb(SKETCH, c) * t ** c * (1 - t) ** (SKETCH - c)
+        if tail > MISS:
+            return c / SKETCH
+    return 1.0
 
 
 def _index(nodes: DataFrame, percent: int) -> DataFrame:
