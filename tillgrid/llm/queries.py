@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillgrid.llm import decontamination, language_id, licences, near_duplicates, packing, quality, secrets, token_files, toxicity, url_filter
+from tillgrid.llm import (
+    decontamination, html_extraction, language_id, licences, near_duplicates, packing, prefix_trie, quality, secrets, token_files, toxicity,
+    url_filter, vector_codes)
 from tillgrid.llm.common import read_table
 from tillgrid.llm.tokens import tokenizer_path
 from tillgrid.session import shared_dir
@@ -60,11 +62,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.find(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_language_id, op4_quality_rules, op5_decontamination, op6_secret_scan,
-                                    op7_licence_scan, op8_token_files, op9_url_filter, op10_near_duplicates)}
+                                    op7_licence_scan, op8_token_files, op9_url_filter, op10_near_duplicates, op11_html_extraction,
+                                    op12_vector_codes, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_decontamination": decontamination.SQL, "op9_url_filter": url_filter.SQL,
-            "op10_near_duplicates": near_duplicates.SQL}
+            "op10_near_duplicates": near_duplicates.SQL, "op12_vector_codes": vector_codes.SQL, "op13_prefix_trie": prefix_trie.SQL}
