@@ -101,15 +101,44 @@ def test_near_duplicates_groups(spark, monkeypatch):
         want = plain_components(rows, percent)
         assert got(near_duplicates.find(docs, percent)) == want
     monkeypatch.setattr(near_duplicates, "SHORT_LIST", 3)
-    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    monkeypatch.setattr(near_duplicates, "HUB_ROWS", 7)
     assert got(near_duplicates.find(docs, 85)) == want
 
 
-def test_overlaps():
-    rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 300, n)) for n in (5, 50, 100, 1, 80, 40)]
-    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]
-    assert near_duplicates.overlaps(sets, 2, columns=16).tolist() == want
+def test_long_lists_of_documents_set_from_the_same_passages(spark, monkeypatch):
+    """Classes of equal frequent shingles, classes that overlap each other, and members that only reach another class's smallest node."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(9000)}"
+    passages, rows = [[word() for _ in range(n)] for n in (40, 40, 30, 12, 8, 6)], []
+    for i in range(260):
+        text = list(passages[i % 2]) + (passages[2] if i % 3 else [])
+        for p in passages[3:]:
+            text += p if rng.random() < 0.5 else []
+        rows.append((i, " ".join(text + [word() for _ in range(rng.choice((0, 1, 3, 6, 9, 14, 20, 30)))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(rows, 85)
+    assert len({c for _, _, c, _ in want}) > 20
+    for short in (2, 8):
+        monkeypatch.setattr(near_duplicates, "SHORT_LIST", short)
+        assert got(near_duplicates.find(docs, 85)) == want
+
+
+def test_hot_ids_and_rows_without_id(spark):
+    rng = random.Random(2)
+    word = lambda: f"v{rng.randrange(400)}"
+    base = [word() for _ in range(80)]
+    middle = base[:-4] + [word() for _ in range(4)]
+    chain = [base, middle, [word() for _ in range(4)] + middle[4:]]  # the first and the last are linked over the row without id alone
+    rows = [(1, " ".join(chain[0])), (None, " ".join(chain[1])), (2, " ".join(chain[2])), (1, "clean text of the same id as a copy " * 3)]
+    rows += [(77, " ".join(word() for _ in range(30))) for _ in range(600)] + [(78, " ".join(base))] * 3 + [(None, "a row without an id")] * 2
+    docs = spark.createDataFrame([(d, t, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, `row` string, mark long")
+    assert got(near_duplicates.find(docs, 85)) == plain_components(rows, 85)
+    kept = near_duplicates.kept_documents(docs, 85)
+    assert kept.columns == docs.columns and kept.filter("`row` <> text").count() == 0
+    texts = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    roots = plain_components(rows, 85)  # one row of each component, by content: the texts but the chain's and the copies'
+    assert max(texts.values()) == 1 and (1, " ".join(base)) in texts and (78, " ".join(base)) not in texts and (2, " ".join(chain[2])) not in texts
+    assert len(texts) == 1 + 1 + 600 + 1 and sum(roots.values()) == len(rows)
 
 
 def plain_code_length(counts, text):

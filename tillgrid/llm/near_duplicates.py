@@ -11,17 +11,21 @@ order here is from the rarest value to the most frequent, so a passage that very
 documents share lists only the documents that consist of little else.
 
 Short lists are paired off. In a long list every node meets the list's most
-central one, which links a group of copies in a linear number of pairs; only nodes that
-stay apart from the list's largest component then meet the whole list, in blocks
-of bounded size that emit links and no pairs. No list, component or neighbourhood is ever gathered
-in one place. Of pairs that meet in a short list only and have a text beyond the sketch size, the estimate
-loses a true link with a stated chance (``MISS``) at most; no other value, partner or candidate is dropped.
+central one, which links a group of copies in a linear number of pairs. What is still apart in a long list is joined on full sets,
+without pairing off the list: shingles held by few of these nodes make short lists
+again, and two nodes that share none of those can only overlap in the frequent ones. Nodes with the same frequent shingles
+therefore form a class in which the smallest node stands for all (whoever has a link of this
+kind has one with it), and the classes' sets are joined in the same way, with a frequency bound four times as high, until no shingle is
+frequent any more. So a passage that very many documents share costs one class, not a pair for every two of them. No list, component
+or neighbourhood is ever gathered in one place. Of pairs that meet in a short list only and have a text beyond the sketch
+size, the estimate loses a true link with a stated chance (``MISS``) at most; no other value, partner or candidate is dropped.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,9 +39,9 @@ SKETCH = 96
 #: Chance at most that the sketch estimate misses a link at the threshold, by the exact binomial tail
 #: (values of a sketch are drawn without replacement, which makes the tail lighter).
 MISS = 1 / 3_000_000
-#: Lists up to this size are paired off; nodes to a side of a block of a longer one.
+#: Lists up to this size are paired off; nodes of a longer one that meet its hub in one task.
 SHORT_LIST = 32
-BLOCK = 512
+HUB_ROWS = 1024
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -62,22 +66,29 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def _mark(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id and text; only exact repeats share both."""
+    row = [F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text")]
+    return F.xxhash64(*row), F.xxhash64(F.lit(1), *reversed(row))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null when empty), sketch; one row per row of ``docs``."""
+    """doc_id, mark, mark2, n_shingles, key (digest of the set, null when empty), sketch; one row per row of ``docs``."""
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh128_digest
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                sets = [shingles(t) for t in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    *(part.column(i) for i in range(3)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sketch"])
+                    pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], ["doc_id", "mark", "mark2", "n_shingles", "key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sketch, "doc_id long, n_shingles long, key binary, sketch array<long>")
+    mark, mark2 = _mark(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), mark2.alias("mark2"), "text").mapInArrow(
+        sketch, "doc_id long, mark long, mark2 long, n_shingles long, key binary, sketch array<long>")
 
 
 def least_estimate(percent: int) -> float:
@@ -117,11 +128,13 @@ def _pairs(index: DataFrame, percent: int) -> DataFrame:
     x = index.select("value", F.col("node").alias("a"), F.col("n").alias("na"), "size")
     y = index.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), "size")
     short = x.filter(F.col("size") <= SHORT_LIST).drop("size").join(y.filter(F.col("size") <= SHORT_LIST).drop("size"), "value").filter("a < b")
-    long = y.filter(F.col("size") > SHORT_LIST).drop("size")
+    # A long list is dealt into parts of bounded size, each with a copy of the hub.
+    parts = F.ceil(F.col("size") / HUB_ROWS).cast("int")
+    long = y.filter(F.col("size") > SHORT_LIST).withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("size")
     hubs = (index.filter(F.col("size") > SHORT_LIST).groupBy("value")
-                 .agg(F.min(F.struct("lone", "node", "n")).alias("h"))
-                 .select("value", F.col("h.node").alias("a"), F.col("h.n").alias("na")))
-    star = hubs.join(long, "value").filter("a <> b")
+                 .agg(F.min(F.struct("lone", "node", "n")).alias("h"), F.first("size").alias("size"))
+                 .select("value", F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+    star = hubs.join(long, ["value", "part"]).drop("part").filter("a <> b")
     fit = short.unionByName(star).filter(_sizes_fit(F.col("na"), F.col("nb"), percent))
     return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -185,104 +198,130 @@ def _mask(keep: np.ndarray):
     return pa.array(keep)
 
 
-def overlaps(sets: list[np.ndarray], queries: int, columns: int = 8192) -> np.ndarray:
-    """How many values each of the first ``queries`` sets shares with each of the others."""
-    values = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, col, often = np.unique(values, return_inverse=True, return_counts=True)
-    known = often[col] > 1
-    row, col = row[known], np.unique(col[known], return_inverse=True)[1]
-    out = np.zeros((queries, len(sets) - queries), np.float32)
-    for first in range(0, int(col.max()) + 1 if len(col) else 0, columns):
-        here = (col >= first) & (col < first + columns)
-        dense = np.zeros((len(sets), columns), np.float32)
-        dense[row[here], col[here] - first] = 1
-        out += dense[:queries] @ dense[queries:].T
-    return out.astype(np.int64)
-
-
-def _block_links(index: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of nodes outside their long list's largest component with any node of that list."""
-    long = (index.filter(F.col("size") > SHORT_LIST).join(labels, "node", "left")
-                 .select("value", "node", "n", "size", F.coalesce("root", "node").alias("root")))
-    # A list whose nodes are one component has nothing left to find.
-    counts = long.groupBy("value", "root").agg(F.count("*").alias("c"))
-    main = (counts.groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("size"))
-                  .filter("c < size").select("value", "main", F.ceil((F.col("size") - F.col("c")) / BLOCK).cast("int").alias("nq"),
-                                             F.ceil(F.col("size") / BLOCK).cast("int").alias("nt")))
-    open_ = long.drop("size").join(main, "value")
-    deal = [F.pmod(F.xxhash64(F.lit(s), "node"), F.col(n)).cast("int") for s, n in (("q", "nq"), ("t", "nt"))]
-    every = [F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("nq", "nt")]
-    ask = open_.filter("root <> main").select("value", "node", "root", F.lit(True).alias("ask"), deal[0].alias("q"), every[1].alias("t"))
-    told = open_.select("value", "node", "root", F.lit(False).alias("ask"), every[0].alias("q"), deal[1].alias("t"))
-    rows = ask.unionByName(told).join(sets, "node")
-
-    def link(table):
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with na, nb and ``common``, the shingles that ``sets`` (node, n, hot) of both hold."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hot").alias("sa")), "a")
+                 .join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hot").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb"))
+
+    def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        table = table.combine_chunks().sort_by([("ask", "descending"), ("node", "ascending")])
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        nq = int(table.column("ask").to_numpy().sum())
-        a, b = [], []
-        if 0 < nq < len(node):
-            lists = _Lists(table.column("set").chunk(0))
-            sets = [lists[i] for i in range(len(node))]
-            n = np.array([len(s) for s in sets])
-            common = overlaps(sets, nq)
-            linked = (100 * common >= percent * (n[:nq, None] + n[None, nq:] - common)) & (root[:nq, None] != root[None, nq:])
-            for q, t in zip(*np.nonzero(linked), strict=True):
-                a.append(node[q])
-                b.append(root[nq + t])
-            # One link to each component is enough: its members are linked already.
-            if a:
-                a, b = np.unique(np.array([a, b]), axis=1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("value", "q", "t").applyInArrow(link, "a long, b long").distinct()
+        for batch in batches:
+            sa, sb = _Lists(batch.column(4)), _Lists(batch.column(5))
+            n = [len(np.intersect1d(sa[i], sb[i], assume_unique=True)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(n, pa.int64())], ["a", "b", "na", "nb", "common"])
+
+    return both.mapInArrow(count, "a long, b long, na long, nb long, common long")
+
+
+def _long_links(index: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) of nodes that stand in one long list but not yet in one component; None where there are no such lists.
+
+    Round r joins the representatives' sets of shingles that were frequent in all rounds before. Their rarest ones, as many
+    as a link can't do without, make lists: those up to ``most`` are paired off. A pair that shares no rarer shingle has
+    its whole overlap in the frequent ones, so for the next round a representative's set is its frequent shingles, and representatives
+    with equal sets are one class under the smallest. A node x of a class is linked, over the class's
+    representative, where n(x) is at most the class's reach: common * (1 + 100 / percent) - n(partner), for its best partner.
+    """
+    long = (index.filter(F.col("size") > SHORT_LIST).join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")))
+    apart = long.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("value")
+    nodes = long.join(apart, "value").select("node", "root").distinct()
+    reps = settle(nodes.join(sets, "node").select("node", "root", F.size("set").cast("long").alias("n"), F.col("set").alias("hot")), "apart")
+    if reps.isEmpty():
+        return None
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9).cast("long")
+
+    def reach(common: Column, partner: Column) -> Column:
+        return F.floor(100 * common / percent + 1e-9).cast("long") + common - partner
+    members = reps.select("node", "n", F.col("node").alias("rep"))
+    links, most, first = [], SHORT_LIST, True
+    while True:
+        tokens = reps.select("node", F.explode("hot").alias("token"))
+        often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        shared = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        slots = F.size("hot") - least + 1 - (F.size("hot") - F.size("shared"))
+        ranked = settle(reps.join(shared, "node").withColumn("slots", slots.cast("int")).filter("slots > 0")
+                            .select("node", "n", "root", "hot", F.expr(f"filter(slice(shared, 1, slots), x -> x.df <= {most}).token").alias("rare"),
+                                    F.expr(f"array_sort(filter(shared, x -> x.df > {most}).token)").alias("frequent")), "ranked")
+        lists = ranked.select(F.explode("rare").alias("token"), "node", "n", "root")
+        x, y = (lists.withColumnsRenamed({"node": m, "n": f"n{m}", "root": f"r{m}"}) for m in "ab")
+        pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
+        pairs = (pairs.filter("ra <> rb") if first else pairs).select("a", "b").distinct()
+        found = settle(_common(pairs, ranked).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))), "overlaps")
+        links.append(found.select("a", "b"))
+        if not first:
+            each = found.select(F.col("a").alias("rep"), reach(F.col("common"), F.col("nb")).alias("reach")).unionByName(
+                found.select(F.col("b").alias("rep"), reach(F.col("common"), F.col("na")).alias("reach"))).unionByName(
+                reps.select(F.col("node").alias("rep"), reach(F.size("hot").cast("long"), F.col("n")).alias("reach")))
+            best = each.groupBy("rep").agg(F.max("reach").alias("reach"))
+            links.append(members.join(best, "rep").filter("node <> rep and n <= reach").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+        alive = ranked.filter(F.size("frequent") >= least).select("node", "n", "root", "frequent", F.xxhash64("frequent").alias("h1"),
+                                                                 F.xxhash64(F.lit(1), "frequent").alias("h2"))
+        classes = alive.groupBy("h1", "h2").agg(F.min(F.struct("n", "node", "root")).alias("m"), F.first("frequent").alias("hot"))
+        after = settle(classes.select("h1", "h2", F.col("m.node").alias("node"), F.col("m.root").alias("root"), F.col("m.n").alias("n"), "hot"), "classes")
+        if after.isEmpty():
+            break
+        moved = alive.select(F.col("node").alias("rep"), "h1", "h2").join(after.select("h1", "h2", F.col("node").alias("to"), F.size("hot").alias("held")), ["h1", "h2"])
+        members = settle(members.join(moved, "rep").filter(100 * F.col("held") >= percent * F.col("n")).select("node", "n", F.col("to").alias("rep")), "members")
+        reps, most, first = after.select("node", "root", "n", "hot"), 4 * most, False
+    return reduce(DataFrame.unionByName, links)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set for ``wanted`` (doc_id, key, node): the full shingle sets, from the texts of those documents alone."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "key", "text")
+    """node, set for ``wanted`` (mark, key, node): the full shingle sets, from the texts of those rows alone."""
+    rows = docs.select(_mark(docs)[0].alias("mark"), "text").join(wanted, "mark").select("node", "key", "text")
 
     def full(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh128_digest
+        seen: set[int] = set()  # nodes of this task: a row that stands in the table very often is read once in each
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(t) for t in part.column(2).to_pylist()]
-                # Several rows may carry one doc_id; the node's text is the one with its key.
-                mine = [i for i, (s, k) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if xxh128_digest(s.tobytes()) == k]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(mine, pa.int64())),
-                                                  pa.array([sets[i] for i in mine], pa.list_(pa.int64()))], ["node", "set"])
+                nodes, keys, out = part.column(0).to_pylist(), part.column(1).to_pylist(), []
+                for i, node in enumerate(nodes):
+                    if node not in seen:
+                        one = shingles(part.column(2)[i].as_py())
+                        if xxh128_digest(one.tobytes()) == keys[i]:  # else another row with the same mark
+                            seen.add(node)
+                            out.append((node, one))
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["node", "set"])
 
     return rows.mapInArrow(full, "node long, set array<long>")
 
 
-def find(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Documents are linked when 100 * intersection >= percent * union of their shingle sets;
-    a component's id is the smallest doc_id in it. A null or empty text, or one without
-    words, has no shingles and is a component of its own. Rows with the same text are one group; repeated rows
-    all carry the same verdict. A null doc_id never names a component that has another id. Further columns are not read.
-    """
+def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows' sketches (written), and key, root for every distinct shingle set: sets with the same root are one component."""
     seen = settle(sketches(docs), "sketches")
     classes = settle(seen.filter(F.col("key").isNotNull()).groupBy("key")
-                     .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+                     .agg(F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
                      .withColumn("node", F.monotonically_increasing_id()), "classes")
     index = _index(classes, percent)
     active = index.select("node").distinct()
-    wanted = classes.select("node", "key", "doc_id", "n", "sketch").join(active, "node")
+    wanted = classes.select("node", "key", "mark", "n", "sketch").join(active, "node")
     wanted = settle(wanted, "listed")
-    sets = settle(_sets(docs, wanted.select("doc_id", "key", "node")).dropDuplicates(["node"]), "sets")
+    sets = settle(_sets(docs, wanted.select("mark", "key", "node")).dropDuplicates(["node"]), "sets")
     candidates = settle(_estimated(_pairs(index, percent), wanted, percent), "candidates")
     links = settle(_confirmed(candidates, sets, percent), "links")
     labels = components(links)
-    more = _block_links(index, labels, sets, percent)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    rooted = classes.select("key", "doc_id", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    more = _long_links(index, labels, sets, percent)
+    if more is not None:
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return seen, classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+
+
+def find(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Documents are linked when 100 * intersection >= percent * union of their shingle sets;
+    a component's id is the smallest doc_id in it. A null or empty text, or one without
+    words, has no shingles and is a component of its own. Rows with the same text are one group; repeated rows
+    all carry the same verdict. Rows without doc_id link like all others; a null id names a component that has no other id. Ties can't
+    matter: components don't depend on order. An empty table gives no rows. Further columns are not read.
+    """
+    seen, rooted = _components(docs, percent)
+    rooted = settle(rooted, "rooted")
+    ids = seen.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    names = ids.join(rooted, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(names, "root").select("key", "component_id")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (seen.select("doc_id", "n_shingles", "key").join(named, "key", "left")
@@ -291,9 +330,25 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, with all their columns; rows without a doc_id stay."""
-    gone = find(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` of each component, with all its columns, and all rows without words.
+
+    The row with the smallest doc_id stays (null last; then the smallest hash of its text); of exact repeats of
+    that row one stays. Rows that share an id but not the text are judged each by its text.
+    """
+    seen, rooted = _components(docs, percent)
+    # One entry for each distinct row, by its two marks, and how often it stands in the table.
+    rows = seen.filter(F.col("key").isNotNull()).groupBy("mark", "mark2").agg(F.first("key").alias("key"), F.first("doc_id").alias("doc_id"), F.count("*").alias("often"))
+    ranked = rows.join(rooted, "key").withColumn("at", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "mark2"))
+    best = ranked.groupBy("root").agg(F.min("at").alias("best"))
+    verdict = settle(ranked.join(best, "root").select("mark", "mark2", "often", (F.col("at") == F.col("best")).alias("stays")), "verdicts")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the table's own columns ride in a struct, whatever they are called
+    mark, mark2 = _mark(docs)
+    held = docs.select(mark.alias("mark"), mark2.alias("mark2"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    gone = verdict.filter((~F.col("stays")) | (F.col("often") > 1)).select("mark", "mark2")
+    again = verdict.filter(F.col("stays") & (F.col("often") > 1)).select("mark", "mark2")
+    one = held.join(again, ["mark", "mark2"]).groupBy("mark", "mark2").agg(F.first("row").alias("row"))
+    out = held.join(gone, ["mark", "mark2"], "left_anti").select("row").unionByName(one.select("row"))
+    return out.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 SQL = r"""
