@@ -28,13 +28,13 @@ SAMPLE_PAGES = 400
 SAMPLE_BYTES = 64 << 10
 TRAIN_BLOCKS = 120
 #: Layouts set from each sampled page, besides its own.
-LAYOUTS = 4
-PATH_DIMS = 96
+LAYOUTS = 6
+PATH_DIMS = 160
 WORD_DIMS = 48
 MEASURES = 9
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
-EPOCHS = 6
+EPOCHS = 8
 BATCH = 48
 RATE = 0.01
 SEED = 11
@@ -330,7 +330,7 @@ def training_pages(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray
     layouts = Layouts(mains)
     for own in mains:
         for k in range(LAYOUTS):
-            some = _short(own, [TRAIN_BLOCKS, 12, 4, 30][k % 4])
+            some = _short(own, [TRAIN_BLOCKS, 12, 4, 30, 2, 8][k % 6])
             blocks, known = layouts.page([_worn(t) for t in some] if layouts.r.random() < 0.08 else some)
             out.append(blocks)
             labels.append(known)
@@ -339,8 +339,12 @@ def training_pages(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray
 
 def train(pages: DataFrame, size: int = SAMPLE_PAGES) -> Labeller:
     """A labeller from at most ``size`` pages of at most ``SAMPLE_BYTES`` each; without any page it labels nothing as main text."""
-    drawn = (pages.filter((F.length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES))
-                  .select("html", F.xxhash64("url", F.length("html"), "page_id").alias("at")).orderBy("at", "html").limit(size).collect())  # 16 MB at most
+    # About four times the sample passes the hash, however large the table; copies of one row are one.
+    share = min(1.0, 4 * size / max(1, pages.count()))
+    at = F.xxhash64("page_id", "url")
+    near = pages.filter(F.pmod(at, F.lit(1 << 30)) <= int(share * (1 << 30)))
+    drawn = (near.filter((F.length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES)).select(at.alias("at"), "html").distinct()
+                 .orderBy("at", "html").limit(size).collect())  # 400 pages of 64 KB at most
     blocks, labels = training_pages([r["html"] for r in drawn])
     vectors = Vectors()
     known = [(vectors.rows(b), y) for b, y in zip(blocks, labels, strict=True) if b]
