@@ -31,6 +31,7 @@ ROUNDS = 4
 MOST = 1 << 27
 #: Parts compared at a time in a task.
 CHUNK = 2048
+DENSE_ROWS = 256
 #: Rows of label totals up to which they are broadcast (under 10 MB); beyond, the join shuffles.
 BROADCAST_LABELS = 200_000
 
@@ -50,6 +51,44 @@ def part_bounds(size: int, parts: int = PARTS) -> list[int]:
     return [p * size // parts for p in range(parts + 1)]
 
 
+def _sparse(cols: np.ndarray, entry_cols: np.ndarray, bits: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with a candidate within their limit, the nearest one (ties: the lowest) and its squared distance; pair by pair."""
+    row, entry = np.nonzero(bits)
+    d2 = np.zeros(len(row), cols.dtype)
+    for d in range(len(cols)):
+        step = cols[d][row] - entry_cols[d][entry]
+        d2 += step * step
+    near = d2 <= limit[row]
+    row, entry, d2 = row[near], entry[near], d2[near]
+    if not len(row):
+        return row, entry, d2
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    least = np.minimum.reduceat(d2, starts)
+    hit = np.flatnonzero(d2 == np.repeat(least, np.diff(np.append(starts, len(row)))))
+    hit = hit[np.diff(row[hit], prepend=-1) > 0]  # entries ascend within a row: the first is the lowest
+    return row[hit], entry[hit], d2[hit]
+
+
+def _dense(cols: np.ndarray, entry_cols: np.ndarray, bits: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same where candidates are many: blocks of rows against the entries, without listing pairs."""
+    at, entry, d2 = [], [], []
+    for lo in range(0, bits.shape[0], DENSE_ROWS):
+        block = cols[:, lo:lo + DENSE_ROWS]
+        far = np.zeros((block.shape[1], entry_cols.shape[1]), cols.dtype)
+        for d in range(len(cols)):
+            step = block[d][:, None] - entry_cols[d][None]
+            step *= step
+            far += step
+        far[~bits[lo:lo + DENSE_ROWS]] = np.iinfo(cols.dtype).max
+        first = far.argmin(1)
+        least = far[np.arange(len(first)), first]
+        ok = np.flatnonzero((least <= limit[lo:lo + DENSE_ROWS]) & bits[lo + np.arange(len(first)), first])
+        at.append(ok + lo)
+        entry.append(first[ok])
+        d2.append(least[ok])
+    return np.concatenate(at), np.concatenate(entry), np.concatenate(d2)
+
+
 class Slices:
     """One codebook (entries x positions) under sorted coordinates with prefix masks."""
 
@@ -99,28 +138,15 @@ class Slices:
         while len(todo):
             r = radius[todo]
             masks = self.candidates(x[todo], r)
-            bits = np.unpackbits(masks.view(np.uint8).reshape(len(todo), -1), axis=1, bitorder="little")
-            row, entry = np.nonzero(bits)
+            bits = np.unpackbits(masks.view(np.uint8).reshape(len(todo), -1), axis=1, bitorder="little", count=len(self.entries)).view(bool)
             limit = np.minimum(r * r, np.iinfo(kind).max).astype(kind)
-            d2 = np.zeros(len(row), kind)
-            for d in range(size):
-                step = cols[d][todo[row]] - entry_cols[d][entry]
-                d2 += step * step
-                if d % 4 == 3 or d == size - 1:  # what is beyond the radius already can't be the answer
-                    near = d2 <= limit[row]
-                    row, entry, d2 = row[near], entry[near], d2[near]
-            if len(row):
-                starts = np.flatnonzero(np.diff(row, prepend=-1))
-                least = np.minimum.reduceat(d2, starts)
-                hit = np.flatnonzero(d2 == np.repeat(least, np.diff(np.append(starts, len(row)))))
-                hit = hit[np.diff(row[hit], prepend=-1) > 0]  # entries ascend within a row: the first is the lowest
-                best[todo[row[hit]]], error[todo[row[hit]]] = entry[hit], d2[hit]
-                left = np.ones(len(todo), bool)
-                left[row[hit]] = False
-                todo = todo[left]
-            tries += 1
-            grown = radius[todo] * 13 // 10 + 1
-            radius[todo] = grown if tries < 12 else 2 * widest * (int(size ** 0.5) + 1) + 1
+            some = _dense if 8 * np.count_nonzero(bits) > bits.size else _sparse
+            at, entry, d2 = some(cols[:, todo], entry_cols, bits, limit)
+            best[todo[at]], error[todo[at]] = entry, d2
+            left = np.ones(len(todo), bool)
+            left[at] = False
+            todo, tries = todo[left], tries + 1
+            radius[todo] = radius[todo] * 8 // 5 + 1 if tries < 8 else 2 * widest * (int(size ** 0.5) + 1) + 1
         return best, error
 
 
