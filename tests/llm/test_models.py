@@ -206,8 +206,8 @@ def test_ordinal_fit():
 
 
 def test_toxicity(spark, edge, no_documents):
-    docs = spark.read.parquet("/root/testdata/check_h/documents.parquet").limit(12_000)
-    labels = spark.read.parquet("/root/testdata/check_h/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
     rows = toxicity.grade(docs, model).join(labels.filter("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
     toxic = [r for r in rows if r.label]
@@ -237,6 +237,22 @@ def test_pipeline(spark):
     assert collections.Counter(map(tuple, ran.collect())) == collections.Counter(map(tuple, after.select(ran.columns).collect()))
 
 
+def test_stages_leave_all_other_columns_alone(spark, edge, tmp_path):
+    """Whatever the table's columns are called and hold, a kept row has its own values in them."""
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    prose = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 600").limit(40).select("text").collect()
+    names = ["_text", "assign", "access", "hex", "markov", "row", "mark", "mark2", "hits", "_hits", "whole", "in_hex", "often", "key", "at", "kept", "a.b"]
+    rows = [(i, r.text + " password = hunter2hunter2", *(f"{n} {i}" for n in names)) for i, r in enumerate(prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.settle(stage(spark, docs, str(tmp_path)), name)
+        got = after.collect()
+        assert after.columns == docs.columns and got, name
+        assert all(list(r)[2:] == [f"{n} {r.doc_id}" for n in names] for r in got), name
+        docs = after
+    assert all("hunter2" not in r.text for r in got)
+
+
 def test_pipeline_with_nothing(spark, edge, tmp_path):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     benchmark.limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")

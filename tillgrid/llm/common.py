@@ -45,5 +45,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def boxed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, under names that don't depend on theirs."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def unboxed(docs: DataFrame, box: str, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` from the struct column ``box``; ``changed`` ones from their new values."""
+    return [changed.get(c, F.col(f"{box}.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def parts_for(total: int, per_part: int) -> int:
     return max(1, -(-int(total) // per_part))

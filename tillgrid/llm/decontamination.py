@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillgrid.llm.common import parts_for
+from tillgrid.llm.common import boxed, parts_for, unboxed
 
 WINDOW = 13
 #: Benchmark characters searched for in one pass; a larger benchmark takes several
@@ -167,8 +167,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    found = search(docs, benchmark, out="_hits")
-    return found.filter(~verdicts("_hits")["contaminated"]).select(*docs.columns)
+    found = search(docs.select(boxed(docs).alias("row"), "text"), benchmark)
+    return found.filter(~verdicts()["contaminated"]).select(*unboxed(docs, "row"))
 
 
 SQL = r"""

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.llm.common import BLANKS, let, settle, whole_text
+from tillgrid.llm.common import BLANKS, boxed, let, settle, unboxed, whole_text
 
 SYMBOLS = "#*$%&|<>"
 #: Steps of expectation-maximisation; first guesses of the accuracy of a bad and
@@ -169,5 +169,5 @@ def judge(docs: DataFrame, keep: float = KEEP, carry: Sequence[Column] = ()) ->
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    judged = judge(docs, carry=[F.struct(*docs.columns).alias("row")])
-    return judged.filter("kept").select("_carry.row.*")
+    judged = judge(docs, carry=[boxed(docs).alias("row")])
+    return judged.filter("kept").select(*unboxed(docs, "_carry.row"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.llm.common import let, whole_text
+from tillgrid.llm.common import boxed, let, unboxed, whole_text
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -144,20 +144,23 @@ def scan(docs: DataFrame, chains: Chains, ratio: float = RATIO) -> DataFrame:
     """``docs`` with arrays of (start, end) in columns assign, access, hex and markov added.
 
     Places are code points of the whole text, end exclusive; a null text is
-    empty. Columns of ``docs`` with these names are replaced.
+    empty. Columns of ``docs`` with these four names are replaced, all others pass through, whatever they are called.
     """
-    docs = docs.drop(*KINDS)
-    cols = docs.columns
-    text = F.col("_text")
-    d = docs.withColumn("_text", whole_text())
-    d = d.select(*cols, "_text", *[c.alias(f"_{n}") for n, c in base_spans(text).items()])
-    taken = F.concat("_assign", "_access", "_hex")
-    candidates = _found(text, RUN)
+    kept = docs.drop(*KINDS)
+    return _scanned(kept, chains, ratio).select(*unboxed(kept, "row"), *KINDS)
+
+
+def _scanned(docs: DataFrame, chains: Chains, ratio: float) -> DataFrame:
+    """row (all of a row of ``docs``), whole (its whole text) and the four kinds of spans."""
+    d = docs.select(boxed(docs).alias("row"), whole_text().alias("whole"))
+    d = d.select("row", "whole", *[c.alias(f"in_{n}") for n, c in base_spans(F.col("whole")).items()])
+    taken = F.concat("in_assign", "in_access", "in_hex")
+    candidates = _found(F.col("whole"), RUN)
     markov = F.filter(candidates, lambda c: ~F.exists(taken, lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"]))
                       & (chains.score(c["value"]) >= ratio))
-    d = d.withColumn("_markov", markov)
-    bare = {n: F.transform(f"_{n}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for n in KINDS}
-    return d.select(*cols, *[c.alias(n) for n, c in bare.items()])
+    d = d.withColumn("in_markov", markov)
+    bare = {n: F.transform(f"in_{n}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for n in KINDS}
+    return d.select("row", "whole", *[c.alias(n) for n, c in bare.items()])
 
 
 def listing(kinds: tuple[str, ...]) -> Column:
@@ -178,11 +181,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, chains: Chains, mask: str = MASK) -> DataFrame:
-    """``docs`` with every span replaced by ``mask`` in ``text`` (overlapping spans by one); texts without spans stay as they are."""
-    cols = docs.columns
-    found = scan(docs, chains)
+    """``docs`` with every span replaced by ``mask`` in ``text`` (overlapping spans by one); texts without spans and all other columns stay as they are."""
+    found = _scanned(docs, chains, RATIO)
     spans = F.sort_array(F.concat(*KINDS))
-    text = F.col("text")
+    text = F.col("whole")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -191,4 +193,5 @@ def redact(docs: DataFrame, chains: Chains, mask: str = MASK) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], fresh).alias("out"))
 
     masked = let(F.aggregate(spans, start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
-    return found.withColumn("text", F.when(F.size(spans) > 0, masked).otherwise(text)).select(*cols)
+    old = F.col(f"row.c{docs.columns.index('text')}")
+    return found.select(*unboxed(docs, "row", text=F.when(F.size(spans) > 0, masked).otherwise(old)))
