@@ -15,7 +15,7 @@ central one, which links a group of copies in a linear number of pairs. What is
 without pairing off the list: shingles held by few of these nodes make short lists
 again, and two nodes that share none of those can only overlap in the frequent ones. Nodes with the same frequent shingles
 therefore form a class in which the smallest node stands for all (whoever has a link of this
-kind has one with it), and the classes' sets are joined in the same way, with a frequency bound four times as high, until no shingle is
+kind has one with it), and the classes' sets are joined in the same way, with a higher frequency bound, until no shingle is
 frequent any more. So a passage that very many documents share costs one class, not a pair for every two of them. No list, component
 or neighbourhood is ever gathered in one place. Of pairs that meet in a short list only and have a text beyond the sketch
 size, the estimate loses a true link with a stated chance (``MISS``) at most; no other value, partner or candidate is dropped.
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.llm.common import settle
+from tillgrid.llm.common import boxed, settle, unboxed
 from tillgrid.llm.components import components
 
 WORDS = 5
@@ -213,57 +213,91 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(count, "a long, b long, na long, nb long, common long")
 
 
+#: Width of a size band in lists of full sets.
+BAND = math.log(1.02)
+#: How much longer the lists of each round may be than the round before.
+GROWTH = 16
+
+
+def _list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of list rows (token, node, n, lo, hi, left) that can be links.
+
+    ``left``: how many shared shingles a node has from this one on in the lists' order, so a pair whose first common one this is
+    overlaps in the smaller ``left`` at most. The smaller node of a pair must be almost complete in its list, the larger one
+    looks into the size bands alone where its own ``left`` leaves a partner possible. Nodes of the component that most of a band's nodes
+    belong to don't meet each other.
+    """
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n) / BAND).cast("int")
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    most = F.least(F.col("n"), F.floor(100 * F.col("left") / percent + 1e-9) + F.col("left") - F.col("n"))
+    root = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    small = (lists.filter((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
+                  .select("token", band(F.col("n")).alias("band"), F.col("node").alias("s"), F.col("n").alias("ns"), F.col("left").alias("ls"), root.alias("rs")))
+    large = (lists.filter(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+                  .select("token", "band", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("left").alias("ll"), root.alias("rl")))
+    main = (small.filter("rs is not null").groupBy("token", "band", "rs").agg(F.count("*").alias("c"))
+                 .groupBy("token", "band").agg(F.max_by("rs", F.struct("c", "rs")).alias("main")))
+    small = small.join(main, ["token", "band"], "left").withColumn("side", F.coalesce(F.col("rs") == F.col("main"), F.lit(False))).drop("main")
+    large = large.join(main, ["token", "band"], "left").withColumn("side", F.explode(F.when(
+        F.coalesce(F.col("rl") == F.col("main"), F.lit(False)), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("main")
+    fit = ((F.col("s") != F.col("l")) & (F.col("ns") <= F.col("nl")) & F.coalesce(F.col("rs") != F.col("rl"), F.lit(True))
+           & ((100 + percent) * F.least("ls", "ll") >= percent * (F.col("ns") + F.col("nl"))))
+    return small.join(large, ["token", "band", "side"]).filter(fit).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+
+
 def _long_links(index: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) of nodes that stand in one long list but not yet in one component; None where there are no such lists.
 
     Round r joins the representatives' sets of shingles that were frequent in all rounds before. Their rarest ones, as many
-    as a link can't do without, make lists: those up to ``most`` are paired off. A pair that shares no rarer shingle has
+    as a link can't do without, make lists: those up to ``most`` are joined within. A pair that shares no rarer shingle has
     its whole overlap in the frequent ones, so for the next round a representative's set is its frequent shingles, and representatives
     with equal sets are one class under the smallest. A node x of a class is linked, over the class's
     representative, where n(x) is at most the class's reach: common * (1 + 100 / percent) - n(partner), for its best partner.
+    Representatives whose reach ends below every other holder of their shingles are done, and so are all once they are one component.
     """
     long = (index.filter(F.col("size") > SHORT_LIST).join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")))
     apart = long.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("value")
     nodes = long.join(apart, "value").select("node", "root").distinct()
-    reps = settle(nodes.join(sets, "node").select("node", "root", F.size("set").cast("long").alias("n"), F.col("set").alias("hot")), "apart")
-    if reps.isEmpty():
-        return None
+    reps = settle(nodes.join(sets, "node").select("node", F.col("root").alias("lo"), F.col("root").alias("hi"), F.size("set").cast("long").alias("n"),
+                                                  F.col("set").alias("hot")), "apart")
     least = F.ceil(F.col("n") * percent / 100 - 1e-9).cast("long")
 
     def reach(common: Column, partner: Column) -> Column:
         return F.floor(100 * common / percent + 1e-9).cast("long") + common - partner
     members = reps.select("node", "n", F.col("node").alias("rep"))
-    links, most, first = [], SHORT_LIST, True
+    links: list[DataFrame] = []
+    most = SHORT_LIST
     while True:
-        tokens = reps.select("node", F.explode("hot").alias("token"))
-        often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-        shared = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-        slots = F.size("hot") - least + 1 - (F.size("hot") - F.size("shared"))
-        ranked = settle(reps.join(shared, "node").withColumn("slots", slots.cast("int")).filter("slots > 0")
-                            .select("node", "n", "root", "hot", F.expr(f"filter(slice(shared, 1, slots), x -> x.df <= {most}).token").alias("rare"),
-                                    F.expr(f"array_sort(filter(shared, x -> x.df > {most}).token)").alias("frequent")), "ranked")
-        lists = ranked.select(F.explode("rare").alias("token"), "node", "n", "root")
-        x, y = (lists.withColumnsRenamed({"node": m, "n": f"n{m}", "root": f"r{m}"}) for m in "ab")
-        pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
-        pairs = (pairs.filter("ra <> rb") if first else pairs).select("a", "b").distinct()
-        found = settle(_common(pairs, ranked).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))), "overlaps")
-        links.append(found.select("a", "b"))
-        if not first:
-            each = found.select(F.col("a").alias("rep"), reach(F.col("common"), F.col("nb")).alias("reach")).unionByName(
-                found.select(F.col("b").alias("rep"), reach(F.col("common"), F.col("na")).alias("reach"))).unionByName(
-                reps.select(F.col("node").alias("rep"), reach(F.size("hot").cast("long"), F.col("n")).alias("reach")))
-            best = each.groupBy("rep").agg(F.max("reach").alias("reach"))
-            links.append(members.join(best, "rep").filter("node <> rep and n <= reach").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-        alive = ranked.filter(F.size("frequent") >= least).select("node", "n", "root", "frequent", F.xxhash64("frequent").alias("h1"),
-                                                                 F.xxhash64(F.lit(1), "frequent").alias("h2"))
-        classes = alive.groupBy("h1", "h2").agg(F.min(F.struct("n", "node", "root")).alias("m"), F.first("frequent").alias("hot"))
-        after = settle(classes.select("h1", "h2", F.col("m.node").alias("node"), F.col("m.root").alias("root"), F.col("m.n").alias("n"), "hot"), "classes")
-        if after.isEmpty():
-            break
+        roots = reps.agg(F.min("lo"), F.max("hi")).first()
+        if roots[0] == roots[1]:  # none, or all of one component
+            return reduce(DataFrame.unionByName, links) if links else None
+        tokens = reps.select("node", "n", F.explode("hot").alias("token"))
+        often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low")).filter("df > 1")
+        shared = (tokens.select("node", "token").join(often, "token").groupBy("node")
+                        .agg(F.sort_array(F.collect_list(F.struct("df", "token", "low"))).alias("shared")))
+        ranked = settle(reps.join(shared, "node").withColumn("h", F.size("shared").cast("long")).filter(F.col("h") >= least)
+                            .withColumn("slots", (F.col("h") - least + 1).cast("int"))
+                            .select("node", "n", "lo", "hi", "hot", "h",
+                                    F.expr(f"filter(transform(slice(shared, 1, slots), (x, i) -> struct(x.df, x.token, h - i as left)), x -> x.df <= {most})").alias("rare"),
+                                    F.expr(f"filter(shared, x -> x.df > {most})").alias("frequent")), "ranked")
+        lists = ranked.select("node", "n", "lo", "hi", F.explode("rare").alias("x")).select("x.token", "node", "n", "lo", "hi", "x.left")
+        found = settle(_common(_list_pairs(lists, percent), ranked)
+                       .filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))), "overlaps")
+        each = found.select(F.col("a").alias("rep"), reach(F.col("common"), F.col("nb")).alias("reach")).unionByName(
+            found.select(F.col("b").alias("rep"), reach(F.col("common"), F.col("na")).alias("reach"))).unionByName(
+            reps.select(F.col("node").alias("rep"), reach(F.size("hot").cast("long"), F.col("n")).alias("reach")))
+        best = each.groupBy("rep").agg(F.max("reach").alias("reach"))
+        links += [found.select("a", "b"), members.join(best, "rep").filter("node <> rep and n <= reach").select(F.col("node").alias("a"), F.col("rep").alias("b"))]
+        held = F.size("frequent").cast("long")
+        alive = ranked.filter((held >= least) & (F.array_min("frequent.low") <= reach(held, F.col("n")))).select(
+            "node", "n", "lo", "hi", F.array_sort("frequent.token").alias("frequent"))
+        alive = alive.withColumn("h1", F.xxhash64("frequent")).withColumn("h2", F.xxhash64(F.lit(1), "frequent"))
+        classes = alive.groupBy("h1", "h2").agg(F.min(F.struct("n", "node")).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("frequent").alias("hot"))
+        after = settle(classes.select("h1", "h2", F.col("m.node").alias("node"), "lo", "hi", F.col("m.n").alias("n"), "hot"), "classes")
         moved = alive.select(F.col("node").alias("rep"), "h1", "h2").join(after.select("h1", "h2", F.col("node").alias("to"), F.size("hot").alias("held")), ["h1", "h2"])
         members = settle(members.join(moved, "rep").filter(100 * F.col("held") >= percent * F.col("n")).select("node", "n", F.col("to").alias("rep")), "members")
-        reps, most, first = after.select("node", "root", "n", "hot"), 4 * most, False
-    return reduce(DataFrame.unionByName, links)
+        reps, most = after.select("node", "lo", "hi", "n", "hot"), GROWTH * most
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -341,14 +375,13 @@ def kept_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     ranked = rows.join(rooted, "key").withColumn("at", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "mark2"))
     best = ranked.groupBy("root").agg(F.min("at").alias("best"))
     verdict = settle(ranked.join(best, "root").select("mark", "mark2", "often", (F.col("at") == F.col("best")).alias("stays")), "verdicts")
-    names = [f"c{i}" for i in range(len(docs.columns))]  # the table's own columns ride in a struct, whatever they are called
     mark, mark2 = _mark(docs)
-    held = docs.select(mark.alias("mark"), mark2.alias("mark2"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    held = docs.select(mark.alias("mark"), mark2.alias("mark2"), boxed(docs).alias("row"))
     gone = verdict.filter((~F.col("stays")) | (F.col("often") > 1)).select("mark", "mark2")
     again = verdict.filter(F.col("stays") & (F.col("often") > 1)).select("mark", "mark2")
     one = held.join(again, ["mark", "mark2"]).groupBy("mark", "mark2").agg(F.first("row").alias("row"))
     out = held.join(gone, ["mark", "mark2"], "left_anti").select("row").unionByName(one.select("row"))
-    return out.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return out.select(*unboxed(docs, "row"))
 
 
 SQL = r"""
