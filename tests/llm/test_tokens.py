@@ -20,7 +20,6 @@ TEXTS = ["", " ", "\n", "a", " a  b \n\n c ", "It's we'll o'clock 'S '' '", "x"
 
 def whole(form):
     tok = Tokenizer.from_file(tokenizer_path(FILES[form]))
-    tok.encode_special_tokens = True
     return lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4")
 
 
@@ -35,8 +34,10 @@ def test_parts_give_the_ids_of_the_whole_text(form):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n'sStTrReEléÉß09.,_-!\t ́Σσ"), st.characters(codec="utf-8")), max_size=40))
-def test_any_text(t):
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n'sStTrReEléÉß09.,_-!\t ́Σσ"), st.characters(codec="utf-8")), max_size=40),
+       st.sampled_from(["", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|"]), st.integers(0, 40))
+def test_any_text(t, added, at):
+    t = t[:at] + added + t[at:]
     for form in FILES:
         assert PartEncoder.load(tokenizer_path(FILES[form]), form).encode([t], 0)[0].tolist() == [*whole_cached(form)(t).tolist(), 0]
 

@@ -88,10 +88,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIE
          n_pieces: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` added; any further columns pass through.
 
-    Needs ``doc_id, piece, length`` with 1 <= length <= capacity. Pieces are
-    dealt out by a hash of (doc_id, piece), so neither a long document nor a hot source gathers in one task;
-    each task packs its pieces from long to short, in an order that a re-run
-    repeats. Offsets within a sequence are gapless from 0.
+    Needs ``doc_id, piece, length`` with 1 <= length <= capacity, and a written table: every row gets a number of its own and is dealt
+    out by it, so neither a long document, a hot source nor rows that share an id gather in one task;
+    each task packs its pieces, about ``pieces_per_task``, from long to short. Offsets within a sequence are gapless from 0.
     """
     if n_pieces is None:
         n_pieces = pieces.count()
@@ -113,10 +112,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIE
         table = table.append_column("sequence_id", pa.array(base + bins)).append_column("offset", pa.array(offsets))
         yield from table.to_batches(max_chunksize=50_000)
 
-    key = F.xxhash64("doc_id", "piece")
-    return (pieces.repartition(parts, key)
-                  .sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-                  .mapInArrow(place, schema))
+    row = "row" + "_" * max(map(len, names))  # no column of the table is called so
+    dealt = pieces.withColumn(row, F.monotonically_increasing_id()).repartition(parts, F.xxhash64(row))
+    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", row).select(*[F.col(f"`{c}`") for c in names]).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

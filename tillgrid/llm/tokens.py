@@ -6,7 +6,7 @@ order. Parts repeat far more than texts do: ``PartEncoder`` asks the library onc
 per distinct part and keeps the answer in a bounded dictionary. It cuts into
 parts only texts of Latin letters, ASCII signs, blanks and line ends; of other
 texts it takes the white-space-delimited units, and a text with other white
-space or control characters is encoded whole.
+space, control characters or the string of an added token is encoded whole.
 """
 
 from __future__ import annotations
@@ -66,8 +66,9 @@ class PartEncoder(dict):
         super().__init__()
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self.tok.encode_special_tokens = True
+        # Strings of added tokens are taken out of a text before it is cut: a text that may hold one is encoded whole.
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else None
         self.fold = str.lower if form == "words" else str
         self.parts, self.ascii_parts, self.units = (re.compile(x[form]).findall for x in (PARTS, ASCII_PARTS, UNITS))
         self.model, self.letters = self.tok.model, _byte_letters()
@@ -99,6 +100,8 @@ class PartEncoder(dict):
         return ids
 
     def _cut(self, text: str) -> list[str]:
+        if self.added and self.added(text):
+            return [text]
         if PLAIN.fullmatch(text):
             return (self.ascii_parts if text.isascii() else self.parts)(self.fold(text))
         if ODD.search(text):
