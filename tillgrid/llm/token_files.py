@@ -33,15 +33,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, form: str = "
     """Rows of a token table in ascending ``doc_id`` order, one partition per file.
 
     Reads ``doc_id`` and ``text`` only. A null text is empty: its document is the
-    end id alone. Equal ``doc_id`` are ordered by a hash of their text, repeated rows stay; null
+    end id alone. Equal ``doc_id`` are ordered by a hash of their text, repeated rows stay and may lie in several files; null
     ids come first. An empty table gives an empty token table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tie = F.xxhash64("text")
-    ordered = (docs.withColumn("_tie", tie)
-                   .repartitionByRange(parts_for(total, file_text_bytes), "doc_id", "_tie")
-                   .sortWithinPartitions("doc_id", "_tie").select("doc_id", "text"))
+    order = ["doc_id", "tie", "row"]  # the row's own number lets many equal rows spread over files
+    ordered = (docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+                   .repartitionByRange(parts_for(total, file_text_bytes), *order)
+                   .sortWithinPartitions(*order).select("doc_id", "text"))
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
