@@ -49,6 +49,26 @@ def receipts(sales: DataFrame, items: DataFrame, ids: DataFrame | None = None) -
     return h.join(li, "id", "left")
 
 
+def nested_receipts(sales: DataFrame, items: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """J3 as documents: one row per sale, ``lignes`` an array of line structs by id (empty without lines).
+
+    A receipt is one sale, so its lines are few; they are put together by the sale's id alone and the header joins them once.
+    """
+    h = sales.select("id", "total", "paiement", "mobile_operateur", "mobile_reference", "monnaie", "date_vente")
+    li = items
+    if ids is not None:
+        h = h.join(ids.select("id").distinct(), "id", "left_semi")
+        li = li.join(ids.select(F.col("id").alias("vente_id")).distinct(), "vente_id", "left_semi")
+    line = F.struct(F.col("id").alias("ligne_id"), "nom_produit", "prix_unitaire", "quantite", "sous_total")
+    lists = li.groupBy(F.col("vente_id").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("lignes"))
+    return h.join(lists, "id", "left").withColumn("lignes", F.coalesce("lignes", F.array().cast(lists.schema["lignes"].dataType)))
+
+
+def receipt_lines(receipts: DataFrame) -> DataFrame:
+    """The flat rows of nested receipts: what ``receipts`` gives."""
+    return receipts.select(*[c for c in receipts.columns if c != "lignes"], F.explode_outer("lignes").alias("l")).select("*", "l.*").drop("l")
+
+
 def purchase_history(purchases: DataFrame, suppliers_df: DataFrame, users: DataFrame, lines: DataFrame,
                      a: Dateish | None = None, b: Dateish | None = None, n: int | None = 200) -> DataFrame:
     """Purchases with supplier name, user name and units bought; newest ``n`` (None: all).

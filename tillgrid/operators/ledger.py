@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tillgrid.functions.scalars import clean_text, is_valid_operator, normalize_operator
 from tillgrid.operators.strategy import running_sum
+from tillgrid.session import written
+from tillgrid.sources.commits import write_batch
 from tillgrid.sources.fixtures import union_all
-from tillgrid.sources.schemas import DEFAULTS, MONEY
+from tillgrid.sources.schemas import DEFAULTS, MONEY, PARTITION_COLS, load_shop
 
 # Texts written by the source into journal rows.
 SALE_DETAILS = ("Vente de ", " ligne(s)")
@@ -223,20 +225,20 @@ def cart_totals(lines: DataFrame, payments: DataFrame) -> DataFrame:
          .when(cash & (eff < F.col("total")), "montant_insuffisant").alias("rejet"))
 
 
-def _first_line_ids(accepted: DataFrame, base_line_id: int) -> DataFrame:
+def _first_line_ids(accepted: DataFrame, base_line_id: int, cheap: bool = False) -> DataFrame:
     """request_id, _before: the id before the first line of each accepted request
     (``n_items`` lines each), in request order without gaps."""
     n = accepted.select("request_id", F.col("n_items").cast("long").alias("n_items"))
-    r = running_sum(n, [], ["request_id"], "n_items", "_upto")
+    r = running_sum(n, [], ["request_id"], "n_items", "_upto", cheap)
     return r.select("request_id", (F.lit(base_line_id) + F.col("_upto") - F.col("n_items")).alias("_before"))
 
 
-def record_sales(headers: DataFrame, lines: DataFrame, base_id: int, base_line_id: int = 0) -> dict[str, DataFrame]:
+def record_sales(headers: DataFrame, lines: DataFrame, base_id: int, base_line_id: int = 0, written_input: bool = False) -> dict[str, DataFrame]:
     """Accepted sale payloads -> sales, lines, movements and journal rows.
 
     The total is taken from the request, not recomputed; stock is not
     checked (it may go negative). Sale id = ``base_id + request_id``; line ids
-    follow ``base_line_id`` without gaps, in request and line order.
+    follow ``base_line_id`` without gaps, in request and line order. ``written_input``: the inputs are scans of a written table.
     """
     v = validate_sales(headers)
     ok = v.filter(F.col("rejet").isNull()).withColumn("vid", F.lit(base_id) + F.col("request_id"))
@@ -246,7 +248,7 @@ def record_sales(headers: DataFrame, lines: DataFrame, base_id: int, base_line_i
         F.coalesce(F.col("monnaie"), F.lit(0)).cast(MONEY).alias("monnaie"),
         F.col("recu_le").alias("date_vente"), "user_id")
     li = (lines.join(ok.select("request_id", "vid", "recu_le"), "request_id", "inner")
-               .join(_first_line_ids(ok, base_line_id), "request_id", "inner")
+               .join(_first_line_ids(ok, base_line_id, written_input), "request_id", "inner")
                .withColumn("_id", F.col("_before") + F.col("pos") + 1))
     items = li.select(F.col("_id").alias("id"), F.col("vid").alias("vente_id"),
                       "produit_id", "nom_produit", F.col("prix_unitaire").cast(MONEY).alias("prix_unitaire"),
@@ -294,6 +296,31 @@ def cancel_sales(requests: DataFrame, sales: DataFrame, items: DataFrame) -> dic
             "mouvements": cancel_movements(cancels, items), "caisse_evenements": cancel_journal(cancels, sales)}
 
 
+def cancel_stored(requests: DataFrame, path: str, root: str, batch_id: int) -> DataFrame:
+    """W5 on tables stored by ``write_shop`` (by day or month): only the periods of cancelled sales are written anew.
+
+    The decisions, cancellation rows, movements and journal rows are committed as batch ``batch_id`` under ``root``. The sales
+    of the periods that change are then replaced by dynamic partition overwrite; running the batch again changes nothing more. Returns the decisions.
+    """
+    spark = requests.sparkSession
+    tables = load_shop(spark, path, ["ventes", "vente_items"])
+    sales, pcol = tables["ventes"], next(c for c in PARTITION_COLS.values() if c in tables["ventes"].columns)
+    known = sales.join(requests.select(F.col("vente_id").alias("id")).distinct(), "id", "left_semi")  # the sales asked about, once
+    asked = written(known, "asked")
+    out = cancel_sales(requests, asked.drop(pcol), tables["vente_items"])
+    decisions = written(out["decisions"], "decisions")
+    hit = decisions.filter("outcome = 'ok'").select(F.col("vente_id").alias("id"), F.lit(True).alias("_hit"))
+    periods = asked.join(hit, "id", "left_semi").select(pcol).distinct()
+    # The periods' values prune the scan of the stored table; there are at most as many as folders that change.
+    touched = sales.filter(F.col(pcol).isin([r[0] for r in periods.collect()]))
+    changed = (touched.join(hit, "id", "left").withColumn("statut", F.when(F.col("_hit"), F.lit("annulee")).otherwise(F.col("statut"))).drop("_hit"))
+    changed = written(changed.select(*sales.columns), "changed")
+    write_batch(spark, {k: out[k] for k in ("annulations_vente", "mouvements", "caisse_evenements")} | {"decisions": decisions}, root, batch_id)
+    (changed.hint("rebalance", pcol).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(pcol)
+            .parquet(f"{path.rstrip('/')}/ventes"))
+    return decisions
+
+
 # ---------------------------------------------------------------- purchases
 def validate_purchases(headers: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
     """Reject a whole purchase when it has no line, or when a line has no

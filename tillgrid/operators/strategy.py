@@ -18,21 +18,24 @@ from pyspark.sql import functions as F
 from tillgrid.session import written
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``df`` with ``_slice``: even ranges of (keys, order), numbered in that order."""
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cheap: bool = False) -> DataFrame:
+    """``df`` with ``_slice``: even ranges of (keys, order), numbered in that order.
+
+    ``cheap``: ``df`` is little more than a scan of a written table, so it may be evaluated twice.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range exchange samples its input first; it samples the written table, not the plan behind it.
-    dealt = written(df, "rows").repartitionByRange(parts, *keys, *order)
+    dealt = (df if cheap else written(df, "rows")).repartitionByRange(parts, *keys, *order)
     return written(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, cheap: bool = False) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same key up to and including this one.
 
-    ``order`` must be a total order within a key.
+    ``order`` must be a total order within a key; ``cheap`` as for ``sliced``.
     """
     keys = list(keys)
-    d = sliced(df, keys, order)
+    d = sliced(df, keys, order, cheap)
     w_in = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = d.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))

@@ -26,7 +26,7 @@ from tillgrid.plans.oracle_views import with_views
 from tillgrid.sources import export as X
 from tillgrid.sources import payloads as S4
 from tillgrid.sources import schemas as S
-from tillgrid.session import shared_dir
+from tillgrid.session import shared_dir, written
 from tillgrid.sources.fixtures import ShopFixture, shop, union_all
 from tillgrid.streaming import presence as ST
 
@@ -292,14 +292,23 @@ def _j2(fx):
     return J.journal(fx["caisse_evenements"], fx["users"], *PERIOD)
 
 
-@q("receipts", f"""select v.id, {m('v.total')} total, v.paiement, v.mobile_operateur, v.mobile_reference,
+RECEIPTS_SQL = f"""select v.id, {m('v.total')} total, v.paiement, v.mobile_operateur, v.mobile_reference,
   {m('v.monnaie')} monnaie, {ts('v.date_vente')} date_vente, i.id ligne_id, i.nom_produit,
   {m('i.prix_unitaire')} prix_unitaire, i.quantite, {m('i.sous_total')} sous_total
-  from ventes v left join vente_items i on i.vente_id = v.id""")
+  from ventes v left join vente_items i on i.vente_id = v.id"""
+
+
+@q("receipts", RECEIPTS_SQL)
 def _j3(fx):
     return J.receipts(fx["ventes"], fx["vente_items"])
 
 
+@q("receipts_nested", RECEIPTS_SQL)
+def _j3_nested(fx):
+    """J3 as one document per sale, written, read back and laid out flat for the comparison."""
+    return J.receipt_lines(written(J.nested_receipts(fx["ventes"], fx["vente_items"]), "receipts"))
+
+
 @q("purchase_history", f"""select a.id, a.fournisseur_id, {m('a.total')} total, a.reference, a.notes, a.user_id,
   {ts('a.date_achat')} date_achat, f.nom fournisseur_nom, u.nom utilisateur_nom,
   cast(coalesce(s.q, 0) as bigint) total_articles

@@ -396,24 +396,32 @@ def _micro(df, *cols):
     return df
 
 
-@q("presence_counts", f"""select id, {tsu('ts')} ts, conn, kind, delta,
+PRESENCE_SQL = f"""select id, {tsu('ts')} ts, conn, kind, delta,
   sum(delta) over (order by ts, id rows between unbounded preceding and current row) en_ligne
-  from ({TRANSITIONS_SQL}) t""")
+  from ({TRANSITIONS_SQL}) t"""
+
+GATED_SQL = f"""select id, {tsu('ts')} ts, conn, username from ({PREV_SQL}) e
+  where kind = 'message' and prev_kind = 'join' and prev_name = username"""
+
+
+@q("presence_counts", PRESENCE_SQL)
 def _st6(fx):
     return _micro(ST.presence_counts(fx["chat_events"]), "ts")
 
 
-@q("gated_messages", f"""select id, {tsu('ts')} ts, conn, username from ({PREV_SQL}) e
-  where kind = 'message' and prev_kind = 'join' and prev_name = username""")
+@q("gated_messages", GATED_SQL)
 def _st7(fx):
     return _micro(ST.gated_messages(fx["chat_events"]), "ts")
 
 
-@q("presence_sessions", f"""select conn, username, {tsu('ts')} debut,
+SESSIONS_SQL = f"""select conn, username, {tsu('ts')} debut,
   {tsu("case when nd = -1 then nts end")} fin,
   case when nd = -1 then (epoch_us(nts) - epoch_us(ts)) / 1e6 end duree_s
   from (select *, lead(ts) over (partition by conn order by ts, id) nts,
                lead(delta) over (partition by conn order by ts, id) nd
-        from ({TRANSITIONS_SQL}) t where delta <> 0) s where delta = 1""")
+        from ({TRANSITIONS_SQL}) t where delta <> 0) s where delta = 1"""
+
+
+@q("presence_sessions", SESSIONS_SQL)
 def _st8(fx):
     return _micro(ST.presence_sessions(fx["chat_events"]), "debut", "fin")

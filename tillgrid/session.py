@@ -46,6 +46,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+#: Keyed state on the executors' disks, with a changelog a trigger in the checkpoint: it may outgrow the heap.
+DURABLE_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def durable_state(spark: SparkSession) -> None:
+    """Streams started from here on keep their state in RocksDB."""
+    for k, v in DURABLE_STATE.items():
+        spark.conf.set(k, v)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
