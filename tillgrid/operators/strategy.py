@@ -45,6 +45,18 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
              .withColumn(out, F.col("_offset") + F.col("_inner")).select(*df.columns, out))
 
 
+def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``out`` = the largest non-NULL ``value`` among earlier rows of the same key."""
+    keys = list(keys)
+    d = sliced(df, keys, order)
+    w_in = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    tops = d.groupBy(*keys, "_slice").agg(F.max(value).alias("_top"))
+    before = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"), F.max("_top").over(w_prev).alias("_before"))
+    return (d.withColumn("_in", F.max(value).over(w_in)).join(before, _same(keys), "inner")
+             .withColumn(out, F.greatest("_in", "_before")).select(*df.columns, out))
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """``out`` = the last non-NULL ``value`` among earlier rows of the same key."""
     keys, order = list(keys), list(order)

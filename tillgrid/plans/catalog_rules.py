@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillgrid.functions.scalars import ntz_text
 from tillgrid.operators import ledger as W
+from tillgrid.operators.catalogue import upsert_products_in_order
 from tillgrid.plans import requests as R
 from tillgrid.plans.catalog import m, q, ts, tsu
 from tillgrid.sources import payloads as S4
@@ -290,6 +291,22 @@ def _w9(fx):
     return W.upsert_products(fx["produits"], R.product_changes(fx), W.max_id(fx["produits"]))
 
 
+@q("upsert_products_in_order", PRODUCT_CHANGES_SQL + f""",
+  handed as (select p.id * 2 + 2 * {AGAIN} request_seq, 'update' action, p.id, concat(p.nom, ' v4') nom, {m('p.prix')} prix,
+    concat('618', lpad(cast(p.id + 1 as varchar), 10, '0')) code_barres, 0 stock, 5 stock_alerte, cast(null as bigint) categorie_id, p.actif,
+    case when n.code_barres is not null and n.id % 29 = 0 then 'code_barres_duplique' end rejet
+    from produits p left join produits n on n.id = p.id + 1 where p.id % 4 = 0)
+  select * from d union all select * from handed""")
+def _w9_in_order(fx):
+    """W9 in request order: every 4th product asks last for the barcode that its neighbour gave up before (where it could)."""
+    k = F.col("id")
+    handed = fx["produits"].filter(k % 4 == 0).select(
+        (k * 2 + 2 * R.AGAIN).alias("request_seq"), "id", F.concat("nom", F.lit(" v4")).alias("nom"), "prix",
+        F.concat(F.lit("618"), F.lpad((k + 1).cast("string"), 10, "0")).alias("code_barres"), F.lit(True).alias("has_code_barres"))
+    changes = R.product_changes(fx).unionByName(handed, allowMissingColumns=True)
+    return upsert_products_in_order(fx["produits"], changes, W.max_id(fx["produits"]))
+
+
 @q("apply_product_changes", PRODUCT_CHANGES_SQL + f"""
   select id, nom, code_barres, {m('prix')} prix, stock, stock_alerte, categorie_id, actif from produits where id not in (select id from d where rejet is null)
   union all select id, nom, code_barres, prix, stock, stock_alerte, categorie_id, actif from d where rejet is null
