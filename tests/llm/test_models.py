@@ -196,6 +196,22 @@ def test_language(spark, edge, no_documents):
     assert a == b
 
 
+def test_many_languages_and_hot_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    rows = [(i, f"l{i % 9 if i % 2 else i % 3}", f"words of language {i % 9} number {i}") for i in range(300)] + [(7, "l1", "one hot row")] * 3000
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert {r.lang for r in sample.collect()} == {"l0", "l1", "l2"} and sample.filter("text = 'one hot row'").count() <= 1
+
+
+def test_labelled_rows_once_and_by_class(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"words {i}") for i in range(2, 90)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 10 == 0 else 0) for i in range(1, 400)] + [(2, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    sample, there = toxicity.labelled_sample(docs, labels, 20)
+    rows = sample.collect()
+    assert there == {True: 9, False: 80} and sum(r.toxic for r in rows) == 9 and len(rows) == 19
+    assert sum(r.text.startswith("text") for r in toxicity.labelled_sample(docs, labels, 1000)[0].collect()) == 1
+
+
 def test_ordinal_fit():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 2)) * 10
