@@ -23,6 +23,8 @@ ORDER = 4
 #: many at most, ending with the one that reaches so many bytes.
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2 << 20
+#: Sample of all languages together, which many languages share evenly; languages learned at most, the most frequent ones.
+TOTAL_BYTES = 64 << 20
 MOST_LANGS = 1000
 #: Bytes scored at once by a task; longer texts are scored in pieces that carry
 #: their context over.
@@ -54,17 +56,17 @@ def keys(data: np.ndarray, order: int) -> np.ndarray:
 def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> DataFrame:
     """lang, text of a bounded sample of each language of ``labelled`` (doc_id, lang, text).
 
-    A hash threshold thins each language to about twice the sample first,
-    so no language's rows gather in one task.
+    A hash threshold thins each language to about twice the sample first, and rows repeated exactly count once,
+    so no language's rows gather in one task. Of more than ``MOST_LANGS`` values of lang the most frequent are learned (ties: by name).
     """
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} values of lang")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    size = min(size, TOTAL_BYTES // max(1, len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, (2.0 * docs + 64) / n)]) if counts else None
     thin = labelled.withColumn("_h", spread)
     if counts:
-        thin = thin.filter(F.col("_h") < F.element_at(share, F.col("lang")))
+        thin = thin.filter(F.col("_h") < F.try_element_at(share, F.col("lang")))  # languages that aren't learned have no share
+    thin = thin.groupBy("lang", "_h").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (thin.withColumn("_k", F.row_number().over(order))
@@ -236,7 +238,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the language's share when every language is weighed by
     2^-(its code length). A null text, one without a letter, or a model without
-    languages: ``und`` and 0. Equal code lengths: the first language by name.
+    languages: ``und`` and 0. Equal code lengths: the first language by name. Repeated rows stay, an empty table gives no rows,
+    further columns, whatever their names, are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
