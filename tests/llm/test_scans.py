@@ -215,4 +215,4 @@ def test_urls(spark):
 
 def test_every_query_is_registered():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
