@@ -352,18 +352,17 @@ def record_purchases(headers: DataFrame, lines: DataFrame, products: DataFrame,
     Line subtotal = qty x price and the purchase total = sum of subtotals, both
     recomputed here; the line's product name is a snapshot of the catalogue.
     """
-    v = validate_purchases(headers, lines, products)
+    v = written(validate_purchases(headers, lines, products), "validated")  # judged once, for all outputs and the line ids
     ok = v.filter(F.col("rejet").isNull()).withColumn("aid", F.lit(base_id) + F.col("request_id"))
     names = products.select(F.col("id").alias("produit_id"), F.col("nom").alias("nom_produit"))
-    li = (lines.join(ok.select("request_id", "aid", "recu_le"), "request_id", "inner")
-               .join(_first_line_ids(ok, base_line_id), "request_id", "inner")
-               .join(names, "produit_id", "left"))
+    bought = lines.join(ok.select("request_id", "aid", "recu_le"), "request_id", "inner")
+    li = bought.join(_first_line_ids(ok, base_line_id, cheap=True), "request_id", "inner").join(names, "produit_id", "left")
     price = F.col("prix_achat").cast(MONEY)
     qty = F.col("quantite").cast("long").cast("int")
     items = li.select((F.col("_before") + F.col("pos") + 1).alias("id"), F.col("aid").alias("achat_id"),
                       "produit_id", "nom_produit", price.alias("prix_achat"), qty.alias("quantite"),
                       (qty * price).cast(MONEY).alias("sous_total"))
-    totals = items.groupBy("achat_id").agg(F.sum("sous_total").cast(MONEY).alias("total"))
+    totals = bought.groupBy(F.col("aid").alias("achat_id")).agg(F.sum((qty * price).cast(MONEY)).cast(MONEY).alias("total"))
     purchases = ok.join(totals, ok.aid == totals.achat_id, "inner").select(
         F.col("aid").alias("id"), "fournisseur_id", "total", clean_text("reference").alias("reference"),
         clean_text("notes").alias("notes"), "user_id", F.col("recu_le").alias("date_achat"))
