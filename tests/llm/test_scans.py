@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 
 import duckdb
@@ -45,9 +47,38 @@ def test_quality_measures(spark, edge):
 
 def test_quality_estimates_accuracies():
     # Rules 0 and 1 agree on junk, rule 2 calls much of what others call good bad.
-    odds = quality.fit([((0, 0, 0, 1), 800), ((-1, -1, 0, 0), 100), ((0, 0, -1, 1), 100), ((-1, -1, -1, 0), 20)])
-    assert odds[0][-1] < odds[2][-1] < 0 < odds[3][1]
-    assert quality.fit([]) == []
+    start, odds = quality.fit([((0, 0, 0, 1), 800), ((-1, -1, 0, 0), 100), ((0, 0, -1, 1), 100), ((-1, -1, -1, 0), 20)])
+    assert start > 0 and odds[0][-1] < odds[2][-1] < 0 < odds[3][1]
+    assert quality.fit([]) == (math.log(quality.SHARE / (1 - quality.SHARE)), [])
+
+
+def test_quality_data_outweigh_the_first_guess():
+    """Rates drawn from known classes come back, whatever the guess; a rule that fires without regard to them counts for nothing."""
+    rates = [{-1: (0.6, 0.02)}, {-1: (0.5, 0.05)}, {-1: (0.3, 0.3)}, {-1: (0.4, 0.05), 1: (0.2, 0.5)}, {1: (0.9, 0.9)}]
+    full = [{v: r.get(v, (1 - sum(x[0] for x in r.values()), 1 - sum(x[1] for x in r.values())) if v == 0 else (0.0, 0.0)) for v in (-1, 0, 1)} for r in rates]
+    patterns = []
+    for votes in itertools.product((-1, 0, 1), repeat=len(rates)):
+        n = sum(200_000 * share * math.prod(r[v][k] for r, v in zip(full, votes, strict=True)) for k, share in enumerate((0.3, 0.7)))
+        if n >= 1:
+            patterns.append((votes, round(n)))
+    start, odds = quality.fit(patterns, steps=600)
+    assert abs(start - math.log(0.7 / 0.3)) < 0.2
+    for k, v in ((0, -1), (1, -1), (3, -1), (3, 1)):
+        assert abs(odds[k][v] - math.log(rates[k][v][1] / rates[k][v][0])) < 0.25
+    assert abs(odds[2][-1]) < 0.1 and abs(odds[4][1]) < 0.1
+    # The same votes many times over: what the guess still adds fades.
+    few, many = (quality.fit([((-1, 0), n), ((0, 1), 9 * n)])[1][0][-1] for n in (10, 10_000))
+    assert many < few < 0
+
+
+def test_quality_verdicts_equal_the_definition(spark):
+    """Posterior and verdict of every document, from its votes and the counts of all votes, in plain Python."""
+    rows = quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).drop("_carry").collect()
+    votes = [tuple(r[f"vote_{n}"] for n in quality.rules()) for r in rows]
+    start, odds = quality.fit(sorted(collections.Counter(votes).items()))
+    for r, vs in zip(rows, votes, strict=True):
+        p = 1 / (1 + math.exp(-start - sum(w[v] for w, v in zip(odds, vs, strict=True))))
+        assert abs(r.quality - p) < 1e-9 and r.kept == (not r.base_failed and r.quality >= quality.KEEP)
 
 
 def test_quality_rejects_junk_and_keeps_clean(spark):
@@ -58,6 +89,12 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert sum(r.kept for r in junk) <= 0.05 * len(junk) and sum(r.kept for r in clean) >= 0.98 * len(clean)
 
 
+def test_vocabulary_votes_at_any_length(spark):
+    texts = [" ".join(f"w{i % 8}" for i in range(n)) for n in (40, 60, 1999, 2000, 9000)] + [" ".join(f"w{i % 450}" for i in range(9000)), " ".join(f"w{i}" for i in range(60))]
+    got = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "vote_vocabulary").collect()
+    assert dict(map(tuple, got)) == {0: 0, 1: -1, 2: -1, 3: -1, 4: -1, 5: 0, 6: 1}
+
+
 def test_quality_empty_and_carried_columns(no_documents, edge):
     assert quality.judge(no_documents).count() == 0
     assert quality.kept_documents(edge).columns == edge.columns

@@ -2,12 +2,14 @@
 
 DataFrame functions only. Each rule looks at one aspect and votes for good (1),
 for bad (-1) or abstains (0). Documents with the same votes are counted, and
-expectation-maximisation over these counts estimates how often each rule's good and
-bad votes are right: the expected truth of every pattern of votes gives the
-accuracies, these give the expected truth again. Every accuracy is drawn to a
-stated first guess with the weight of the votes themselves; without it, rules
-that never vote on the same documents leave the estimate open. Both classes have
-equal weight before the votes. A document is kept when its posterior
+expectation-maximisation over these counts estimates the share of good documents and
+how often each rule votes either way, or abstains, on good and on bad ones: the
+expected truth of every pattern of votes gives the rates, these give the expected
+truth again. How right a vote is follows from its two rates, so a vote that most documents of
+both kinds get says little, however often it is right. The rates start from a first guess
+that weighs as much as a fixed number of documents, which any larger table outvotes; rules that share no
+document are told apart by it alone until then. Rules keep their direction: a bad vote never speaks for good, a
+good vote or an abstention never for bad. A document is kept when its posterior
 probability of being good reaches a threshold and the base test holds.
 """
 
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 from tillgrid.llm.common import BLANKS, boxed, let, settle, unboxed, whole_text
 
 SYMBOLS = "#*$%&|<>"
-#: Steps of expectation-maximisation; first guesses of the accuracy of a bad and
-#: of a good vote (junk shows in an aspect plainly, most aspects of junk look fine); their weight against the votes seen.
-STEPS = 50
-GUESS = {-1: 0.95, 1: 0.6}
-WEIGHT = 1.0
+#: Steps of expectation-maximisation; first guess of the share of good documents and, for each outcome of a rule,
+#: of its rate on bad and on good documents; how many documents of each class the guess counts for.
+STEPS = 100
+SHARE = 0.9
+GUESS = {-1: (0.2, 0.01), 0: (0.5, 0.59), 1: (0.3, 0.4)}
+PRIOR = 20.0
 KEEP = 0.5
 
 
@@ -120,31 +123,37 @@ def rules() -> dict[str, Column]:
         "letters": _vote(10 * c("letters") < 6 * c("word_chars")),
         "list": _vote((c("n_lines") >= 10) & (10 * c("short_lines") > 7 * c("n_lines"))),
         "word_length": _vote((c("n_words") == 0) | (c("word_chars") > 15 * c("n_words")) | (2 * c("word_chars") < 5 * c("n_words"))),
-        "vocabulary": _vote(c("n_words").between(50, 1999) & (5 * c("distinct_words") < c("n_words")),
+        # Longer texts repeat more words by nature: from 2,000 words on, fewer than 400 different ones are a poor vocabulary.
+        "vocabulary": _vote((c("n_words") >= 50) & (5 * c("distinct_words") < F.least(c("n_words"), F.lit(2000))),
                             (c("n_words") > 0) & (5 * c("distinct_words") >= 2 * c("n_words"))),
         "prose": _vote(c("n_lines") == 0, 4 * c("short_lines") <= c("n_lines")),
     }
 
 
-def fit(patterns: Sequence[tuple[Sequence[int], int]], steps: int = STEPS, weight: float = WEIGHT) -> list[dict[int, float]]:
-    """Per rule, what each of its votes adds to the log-odds of good.
+def fit(patterns: Sequence[tuple[Sequence[int], int]], steps: int = STEPS, prior: float = PRIOR) -> tuple[float, list[dict[int, float]]]:
+    """The log-odds of good before any vote, and per rule what each outcome adds to them.
 
     ``patterns``: votes and how many documents cast them (at most 3^rules).
     """
     m = len(patterns[0][0]) if patterns else 0
-    accuracy = [dict(GUESS) for _ in range(m)]
+    share, rates = SHARE, [dict(GUESS) for _ in range(m)]
+
+    def evidence() -> tuple[float, list[dict[int, float]]]:
+        ratio = [{v: math.log(good / bad) for v, (bad, good) in r.items()} for r in rates]
+        return math.log(share / (1 - share)), [{v: min(0.0, w) if v < 0 else max(0.0, w) for v, w in r.items()} for r in ratio]
+
     for _ in range(steps):
-        odds = [{v: v * math.log(a[v] / (1 - a[v])) for v in GUESS} | {0: 0.0} for a in accuracy]
-        cast = [{v: [0.0, 0.0] for v in GUESS} for _ in range(m)]
+        start, odds = evidence()
+        total, cast = [0.0, 0.0], [{v: [0.0, 0.0] for v in GUESS} for _ in range(m)]
         for votes, n in patterns:
-            good = 1 / (1 + math.exp(-sum(w[v] for w, v in zip(odds, votes, strict=True))))
-            for tally, v in zip(cast, votes, strict=True):
-                if v:
-                    tally[v][0] += n
-                    tally[v][1] += n * (good if v > 0 else 1 - good)
-        accuracy = [{v: (right + (weight * n + 1) * GUESS[v]) / (n + weight * n + 1) for v, (n, right) in tally.items()}
-                    for tally in cast]
-    return [{v: v * math.log(a[v] / (1 - a[v])) for v in GUESS} for a in accuracy]
+            good = 1 / (1 + math.exp(-start - sum(w[v] for w, v in zip(odds, votes, strict=True))))
+            for k, weight in enumerate((n * (1 - good), n * good)):
+                total[k] += weight
+                for tally, v in zip(cast, votes, strict=True):
+                    tally[v][k] += weight
+        share = (total[1] + prior * SHARE) / (sum(total) + prior)
+        rates = [{v: tuple((t[v][k] + prior * GUESS[v][k]) / (total[k] + prior) for k in (0, 1)) for v in GUESS} for t in cast]
+    return evidence()
 
 
 def judge(docs: DataFrame, keep: float = KEEP, carry: Sequence[Column] = ()) -> DataFrame:
@@ -158,10 +167,10 @@ def judge(docs: DataFrame, keep: float = KEEP, carry: Sequence[Column] = ()) ->
     voted = settle(measures(docs, carry).select("*", *[v.cast("int").alias(f"vote_{n}") for n, v in votes.items()]), "votes")
     names = [f"vote_{n}" for n in votes]
     counted = voted.groupBy(*names).count().collect()  # at most 3^rules rows
-    odds = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
-    z = F.lit(0.0)
+    start, odds = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
+    z = F.lit(start)
     for n, w in zip(names, odds, strict=False):
-        z = z + F.when(F.col(n) < 0, w[-1]).when(F.col(n) > 0, w[1]).otherwise(0.0)
+        z = z + F.when(F.col(n) < 0, w[-1]).when(F.col(n) > 0, w[1]).otherwise(w[0])
     return (voted.withColumn("base_failed", base_failed())
                  .withColumn("quality", 1 / (1 + F.exp(-z)))
                  .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep)))
