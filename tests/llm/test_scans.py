@@ -217,6 +217,42 @@ def test_wrapped_licences(spark):
     assert [got[-1 - i].n_found for i in range(len(cases))] == [1, 1, 1, 4, 1, 0, 2]
 
 
+KIN = [
+    ("LGPL", """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""),
+    ("AGPL", """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU Affero General Public License as
+ * published by the Free Software Foundation, either version 3 of the
+ * License, or (at your option) any later version."""),
+    ("LGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+             "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL", "SPDX-License-Identifier: LGPL-2.1-only"), ("AGPL", "// SPDX-License-Identifier: AGPL-3.0-only"), ("GPL", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("CC-BY-ND", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC", "Licensed under CC BY-NC-ND 4.0."), ("CC-BY", "Licensed under CC BY 3.0."),
+    ("", "Licensed under the Apache License, Version 1.1."), ("ISC", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, "
+     "provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("EPL", "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution, and is available at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."), ("", "SPDX-License-Identifier: Zlib"),
+    ("GPL,LGPL", "SPDX-License-Identifier: GPL-2.0-only\n\nSPDX-License-Identifier: LGPL-2.1-only"),
+]
+
+
+def test_kin_licences_are_told_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1 - i, f"Some words before.\n\n{t}\n\nand after") for i, (_, t) in enumerate(KIN)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(extra, licences.train(docs)).collect()}
+    assert [",".join(got[-1 - i].families) for i in range(len(KIN))] == [f for f, _ in KIN]
+
+
+def test_every_notice_names_its_family():
+    for family, notices in licences.TEMPLATES.items():
+        for notice in notices:
+            own = licences._plain_grams(licences._plain_words(notice))
+            assert own & set(licences.NAMES[family]), notice
+            assert not own & set(licences.OTHERS.get(family, ())), notice
+
+
 def test_common_licence_lines(spark):
     # A hot source: many different lines with a notice each; and a table of one document.
     hot = [(i, f"Copyright {1900 + i} Name{i}. Released under the MIT License.") for i in range(120)]

@@ -6,7 +6,8 @@ word pairs it shares with a vocabulary drawn from short licence notices. Logisti
 regressions, one for each family, are trained on pieces of the notices against paragraphs sampled from the
 corpus; Platt scaling on the held-out half of both calibrates them, and a paragraph no family reaches with the
 calibrated probability asked for is of the unknown class. A prediction counts when
-the paragraph also shares enough word pairs with a notice of that family.
+the paragraph also shares enough word pairs with a notice of that family; families whose name
+it lacks, or whose name it holds as part of another's, don't stand for election: notices of kin licences differ in little else.
 """
 
 from __future__ import annotations
@@ -22,6 +23,13 @@ from tillgrid.llm.common import let, whole_text
 
 # The usual short notices of the licence families.
 TEMPLATES = {
+    "AGPL": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -42,11 +50,34 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-NC-SA 4.0.",
     ),
+    "CC-BY-ND": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+    ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "ISC": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "LGPL": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -59,6 +90,30 @@ TEMPLATES = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+}
+# Words and word pairs one of which stands in every notice of the family, and those that name another one next to it.
+NAMES = {
+    "AGPL": ("affero general", "agpl"),
+    "Apache-2.0": ("version 2.0", "apache 2.0"),
+    "BSD": ("bsd", "source and", "binary forms"),
+    "CC-BY": ("attribution", "cc by"),
+    "CC-BY-NC": ("attribution noncommercial", "by nc"),
+    "CC-BY-ND": ("attribution noderivatives", "attribution noderivs", "by nd"),
+    "EPL": ("eclipse public", "epl"),
+    "GPL": ("gnu general", "gpl"),
+    "ISC": ("isc", "without fee"),
+    "LGPL": ("lesser general", "library general", "lgpl"),
+    "MIT": ("mit", "of charge", "to deal"),
+    "MPL-2.0": ("mozilla public", "mpl"),
+    "Unlicense": ("unencumbered software", "unlicense"),
+}
+OTHERS = {
+    "CC-BY": ("attribution noncommercial", "attribution noderivatives", "attribution noderivs", "by nc", "by nd"),
+    "CC-BY-ND": ("attribution noncommercial", "by nc"),
 }
 FAMILIES = tuple(TEMPLATES)
 
@@ -215,18 +270,25 @@ def _numbers(values) -> Column:
 
 
 def classify(line: Column, model: Model) -> Column:
-    """struct<family, probability, similarity> of a paragraph; family null for the unknown class or an unconfirmed prediction."""
+    """struct<family, probability, similarity> of a paragraph; family null for the unknown class or an unconfirmed prediction.
+
+    Of families with equal probability the last by name counts.
+    """
     vocabulary = F.array(*[F.lit(x) for x in model.vocabulary])
 
     def linear(at: Column, weights, bias: float) -> Column:
         table = _numbers(weights)
         return F.aggregate(at, F.lit(bias), lambda z, i: z + F.get(table, i))
 
+    def named(own: Column, family: str) -> Column:
+        held = F.arrays_overlap(own, F.array(*[F.lit(x) for x in NAMES[family]]))
+        return held & ~F.arrays_overlap(own, F.array(*[F.lit(x) for x in OTHERS[family]])) if family in OTHERS else held
+
     def predict(own: Column) -> Column:
         def probabilities(features: Column) -> Column:
             places = F.transform(features, lambda x: F.array_position(vocabulary, x).cast("int") - 1)
             return let(places, lambda at: F.array(*[
-                F.struct((1 / (1 + F.exp(-(a * linear(at, w, b) + c)))).alias("p"), F.lit(k).alias("k"))
+                F.struct(F.when(named(own, FAMILIES[k]), 1 / (1 + F.exp(-(a * linear(at, w, b) + c)))).otherwise(0.0).alias("p"), F.lit(k).alias("k"))
                 for k, (w, b, (a, c)) in enumerate(zip(model.weights, model.bias, model.scale, strict=True))]))
 
         similar = F.array(*[F.greatest(*[F.size(F.array_intersect(own, F.array(*[F.lit(x) for x in _pairs(t)]))) / len(_pairs(t)) for t in TEMPLATES[f]])
