@@ -441,10 +441,15 @@ def apply_supplier_changes(current: DataFrame, decided: DataFrame) -> DataFrame:
     return _replaced(current, decided, ["id", "nom", "contact", "telephone", "email", "adresse", "actif", "created_at"])
 
 
-def _replaced(current: DataFrame, decided: DataFrame, cols: list[str]) -> DataFrame:
+def accepted(decided: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` (id among them) of the last accepted change of each id."""
     rest = [c for c in cols if c != "id"]
-    ok = (decided.filter(F.col("rejet").isNull()).groupBy("id")
-                 .agg(F.max_by(F.struct(*rest), "request_seq").alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest]))
+    return (decided.filter(F.col("rejet").isNull()).groupBy("id")
+                   .agg(F.max_by(F.struct(*rest), "request_seq").alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest]))
+
+
+def _replaced(current: DataFrame, decided: DataFrame, cols: list[str]) -> DataFrame:
+    ok = accepted(decided, cols)
     kept = current.join(ok.select(F.col("id").alias("_id")), current.id == F.col("_id"), "left_anti")
     return kept.select(*cols).unionByName(ok.select(*cols))
 

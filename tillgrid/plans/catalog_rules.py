@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tillgrid.functions.scalars import ntz_text
 from tillgrid.operators import ledger as W
+from tillgrid.operators import stored
 from tillgrid.operators.catalogue import upsert_products_in_order
 from tillgrid.plans import requests as R
 from tillgrid.plans.catalog import m, q, ts, tsu
+from tillgrid.session import shared_dir
 from tillgrid.sources import payloads as S4
 from tillgrid.streaming import presence as ST
 
@@ -307,16 +309,22 @@ def _w9_in_order(fx):
     return upsert_products_in_order(fx["produits"], changes, W.max_id(fx["produits"]))
 
 
-@q("apply_product_changes", PRODUCT_CHANGES_SQL + f"""
+PRODUCT_TABLE_SQL = PRODUCT_CHANGES_SQL + f"""
   select id, nom, code_barres, {m('prix')} prix, stock, stock_alerte, categorie_id, actif from produits where id not in (select id from d where rejet is null)
   union all select id, nom, code_barres, prix, stock, stock_alerte, categorie_id, actif from d where rejet is null
-  qualify row_number() over (partition by id order by request_seq desc) = 1""")
+  qualify row_number() over (partition by id order by request_seq desc) = 1"""
+
+
+@q("apply_product_changes", PRODUCT_TABLE_SQL)
 def _w9_table(fx):
     """The product table after the batch; of several changes to a product the last accepted one holds."""
     return W.apply_product_changes(fx["produits"], _w9(fx))
 
 
-@q("soft_delete", """select id, nom, case when id % 4 = 0 then 0 else actif end actif from fournisseurs""")
+SOFT_DELETE_SQL = """select id, nom, case when id % 4 = 0 then 0 else actif end actif from fournisseurs"""
+
+
+@q("soft_delete", SOFT_DELETE_SQL)
 def _w10(fx):
     """Every 4th supplier deleted, plus ids that do not exist (no effect)."""
     f = fx["fournisseurs"]
@@ -335,8 +343,11 @@ def _w11(fx):
     return W.insert_if_absent(fx["produits"], R.catalogue_rows(fx), W.max_id(fx["produits"]))
 
 
-@q("delete_categories", """select p.id, p.nom, p.categorie_id, c.nom categorie_nom from produits p
-  left join (select * from categories where id % 2 <> 0) c on c.id = p.categorie_id where p.actif = 1""")
+DELETE_CATEGORIES_SQL = """select p.id, p.nom, p.categorie_id, c.nom categorie_nom from produits p
+  left join (select * from categories where id % 2 <> 0) c on c.id = p.categorie_id where p.actif = 1"""
+
+
+@q("delete_categories", DELETE_CATEGORIES_SQL)
 def _w12(fx):
     """Even category ids deleted; the catalogue then shows NULL for their products."""
     from tillgrid.operators.joins import catalog
@@ -369,16 +380,60 @@ def _w13(fx):
     return W.upsert_suppliers(fx["fournisseurs"], R.supplier_changes(fx), W.max_id(fx["fournisseurs"]))
 
 
-@q("apply_supplier_changes", SUPPLIER_CHANGES_SQL + f"""
+SUPPLIER_TABLE_SQL = SUPPLIER_CHANGES_SQL + f"""
   select id, nom, cast(null as varchar) contact, cast(null as varchar) telephone, cast(null as varchar) email,
     cast(null as varchar) adresse, actif, cast(null as varchar) created_at from fournisseurs where id not in (select id from d where rejet is null)
   union all select id, nom, contact, telephone, email, adresse, actif, created_at from d where rejet is null
-  qualify row_number() over (partition by id order by request_seq desc) = 1""")
+  qualify row_number() over (partition by id order by request_seq desc) = 1"""
+
+
+@q("apply_supplier_changes", SUPPLIER_TABLE_SQL)
 def _w13_table(fx):
     """The supplier table after the batch."""
     return W.apply_supplier_changes(fx["fournisseurs"], _w13(fx))
 
 
+def _kept_in_folders(table, schema, change):
+    """The table stored by ``write_keyed``, changed in place and read back."""
+    path = shared_dir(table.sparkSession, "catalogue")
+    stored.write_keyed(table.select(*schema.fieldNames()), path)
+    change(path)
+    return stored.read_keyed(table.sparkSession, path, schema).select(*schema.fieldNames())
+
+
+@q("apply_product_changes_stored", PRODUCT_TABLE_SQL)
+def _w9_stored(fx):
+    """W9 on a stored table: only the folders of changed products are rewritten."""
+    out = _w9(fx)
+    cols = ["id", "nom", "code_barres", "prix", "stock", "stock_alerte", "categorie_id", "actif"]
+    schema = fx["produits"].select(*cols).schema
+    return _kept_in_folders(fx["produits"], schema, lambda path: stored.apply_stored(out, path, schema))
+
+
+@q("soft_delete_stored", SOFT_DELETE_SQL)
+def _w10_stored(fx):
+    f = fx["fournisseurs"]
+    ids = (f.filter(F.col("id") % 4 == 0).select("id")
+            .unionByName(f.filter(F.col("id") % 4 == 1).select((F.col("id") + UNK).alias("id"))))
+    return _kept_in_folders(f, f.schema, lambda path: stored.soft_delete_stored(ids, path, f.schema)).select("id", "nom", "actif")
+
+
+@q("delete_categories_stored", DELETE_CATEGORIES_SQL)
+def _w12_stored(fx):
+    from tillgrid.operators.joins import catalog
+    cats = fx["categories"]
+    left = _kept_in_folders(cats, cats.schema, lambda path: stored.delete_stored(cats.filter(F.col("id") % 2 == 0).select("id"), path, cats.schema))
+    return catalog(fx["produits"], left).select("id", "nom", "categorie_id", "categorie_nom")
+
+
+@q("apply_supplier_changes_stored", SUPPLIER_TABLE_SQL)
+def _w13_stored(fx):
+    out = _w13(fx)
+    cols = ["id", "nom", "contact", "telephone", "email", "adresse", "actif", "created_at"]
+    schema = fx["fournisseurs"].select(*cols).schema
+    return _kept_in_folders(fx["fournisseurs"], schema, lambda path: stored.apply_stored(out, path, schema))
+
+
 @q("add_categories", """select id, nom, couleur from categories
   union all select (select max(id) from categories) + min(p_partkey), p_brand, '#22c55e' from part group by p_brand""")
 def _w14(fx):
