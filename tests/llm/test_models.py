@@ -123,6 +123,26 @@ def test_long_lists_of_documents_set_from_the_same_passages(spark, monkeypatch):
         assert got(near_duplicates.find(docs, 85)) == want
 
 
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """Copies that drift apart from one text: pairs that can't reach the threshold make no rows, linked ones all do."""
+    rng, made = random.Random(11), []
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(300):
+        at = sorted(rng.sample(range(0, 160, 8), rng.choice((2, 4, 6, 8))))  # whole stretches are left out, so few words are rare
+        rows.append((i, " ".join(w for k, w in enumerate(base) if not any(a <= k < a + 5 for a in at))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    common = near_duplicates._common
+
+    def counted(pairs, sets):
+        made.append((pairs.count(), common(pairs, sets).filter("100 * common >= 85 * (na + nb - common)").count()))
+        return common(pairs, sets)
+    monkeypatch.setattr(near_duplicates, "_common", counted)
+    assert got(near_duplicates.find(docs, 85)) == plain_components(rows, 85)
+    candidates, links = map(sum, zip(*made, strict=True))
+    assert 10 < links <= candidates < 4 * links, made
+
+
 def test_hot_ids_and_rows_without_id(spark):
     rng = random.Random(2)
     word = lambda: f"v{rng.randrange(400)}"

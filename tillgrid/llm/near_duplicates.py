@@ -217,15 +217,27 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 BAND = math.log(1.02)
 #: How much longer the lists of each round may be than the round before.
 GROWTH = 16
+#: Columns of 64 parities each that stand for a node's shared shingles in its list rows.
+ODD = [f"odd{i}" for i in range(4)]
+
+
+def _parities() -> list[Column]:
+    """Aggregates of ``token``: for each of the bits that tokens are dealt to, whether it got an odd number of them.
+
+    Sets that differ in d tokens differ in d of these bits at most.
+    """
+    word, bit = F.expr(f"pmod(shiftright(token, 6), {len(ODD)})"), F.expr("shiftleft(1L, cast(token & 63 as int))")
+    return [F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(ODD)]
 
 
 def _list_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of list rows (token, node, n, lo, hi, left) that can be links.
+    """Distinct pairs (a, b) of list rows (token, node, n, lo, hi, h, parities, left) that can be links.
 
     ``left``: how many shared shingles a node has from this one on in the lists' order, so a pair whose first common one this is
     overlaps in the smaller ``left`` at most. The smaller node of a pair must be almost complete in its list, the larger one
     looks into the size bands alone where its own ``left`` leaves a partner possible. Nodes of the component that most of a band's nodes
-    belong to don't meet each other.
+    belong to don't meet each other. Two nodes with ``h`` shared shingles each differ in no fewer of them than in parities, which bounds
+    their overlap from above: a pair that can't reach the threshold makes no row.
     """
     def band(n: Column) -> Column:
         return F.floor(F.log(n) / BAND).cast("int")
@@ -233,16 +245,20 @@ def _list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     most = F.least(F.col("n"), F.floor(100 * F.col("left") / percent + 1e-9) + F.col("left") - F.col("n"))
     root = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
     small = (lists.filter((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
-                  .select("token", band(F.col("n")).alias("band"), F.col("node").alias("s"), F.col("n").alias("ns"), F.col("left").alias("ls"), root.alias("rs")))
+                  .select("token", band(F.col("n")).alias("band"), F.col("node").alias("s"), F.col("n").alias("ns"), F.col("left").alias("ls"), root.alias("rs"),
+                          F.col("h").alias("hs"), *[F.col(c).alias(f"s{c}") for c in ODD]))
     large = (lists.filter(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
-                  .select("token", "band", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("left").alias("ll"), root.alias("rl")))
+                  .select("token", "band", F.col("node").alias("l"), F.col("n").alias("nl"), F.col("left").alias("ll"), root.alias("rl"),
+                          F.col("h").alias("hl"), *[F.col(c).alias(f"l{c}") for c in ODD]))
     main = (small.filter("rs is not null").groupBy("token", "band", "rs").agg(F.count("*").alias("c"))
                  .groupBy("token", "band").agg(F.max_by("rs", F.struct("c", "rs")).alias("main")))
     small = small.join(main, ["token", "band"], "left").withColumn("side", F.coalesce(F.col("rs") == F.col("main"), F.lit(False))).drop("main")
     large = large.join(main, ["token", "band"], "left").withColumn("side", F.explode(F.when(
         F.coalesce(F.col("rl") == F.col("main"), F.lit(False)), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("main")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"s{c}").bitwiseXOR(F.col(f"l{c}"))) for c in ODD])
     fit = ((F.col("s") != F.col("l")) & (F.col("ns") <= F.col("nl")) & F.coalesce(F.col("rs") != F.col("rl"), F.lit(True))
-           & ((100 + percent) * F.least("ls", "ll") >= percent * (F.col("ns") + F.col("nl"))))
+           & ((100 + percent) * F.least("ls", "ll") >= percent * (F.col("ns") + F.col("nl")))
+           & ((100 + percent) * (F.col("hs") + F.col("hl") - apart) >= 2 * percent * (F.col("ns") + F.col("nl"))))
     return small.join(large, ["token", "band", "side"]).filter(fit).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
 
 
@@ -275,13 +291,13 @@ def _long_links(index: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         tokens = reps.select("node", "n", F.explode("hot").alias("token"))
         often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("low")).filter("df > 1")
         shared = (tokens.select("node", "token").join(often, "token").groupBy("node")
-                        .agg(F.sort_array(F.collect_list(F.struct("df", "token", "low"))).alias("shared")))
+                        .agg(F.sort_array(F.collect_list(F.struct("df", "token", "low"))).alias("shared"), *_parities()))
         ranked = settle(reps.join(shared, "node").withColumn("h", F.size("shared").cast("long")).filter(F.col("h") >= least)
                             .withColumn("slots", (F.col("h") - least + 1).cast("int"))
-                            .select("node", "n", "lo", "hi", "hot", "h",
+                            .select("node", "n", "lo", "hi", "hot", "h", *ODD,
                                     F.expr(f"filter(transform(slice(shared, 1, slots), (x, i) -> struct(x.df, x.token, h - i as left)), x -> x.df <= {most})").alias("rare"),
                                     F.expr(f"filter(shared, x -> x.df > {most})").alias("frequent")), "ranked")
-        lists = ranked.select("node", "n", "lo", "hi", F.explode("rare").alias("x")).select("x.token", "node", "n", "lo", "hi", "x.left")
+        lists = ranked.select("node", "n", "lo", "hi", "h", *ODD, F.explode("rare").alias("x")).select("x.token", "node", "n", "lo", "hi", "h", *ODD, "x.left")
         found = settle(_common(_list_pairs(lists, percent), ranked)
                        .filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))), "overlaps")
         each = found.select(F.col("a").alias("rep"), reach(F.col("common"), F.col("nb")).alias("reach")).unionByName(
