@@ -78,6 +78,39 @@ def test_late_events_are_put_in_order(spark):
     assert sorted((r.id, r.delta, r.en_ligne) for r in got) == sorted(counts)
 
 
+def test_connections_share_state_keys(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKETS", 3)
+    rows = [(k, START + dt.timedelta(minutes=k // 100), k % 100, "join" if k < 100 else "message", "a") for k in range(300)]
+    out = L.run_stream(P.gated_messages(chat_stream(spark, rows, "shared")), "shared", "append")
+    assert L.read_result(spark, out, None, P.MESSAGES).count() == 200
+    state = spark.read.format("statestore").option("stateVarName", "status").load(out.replace("/out", "/checkpoint"))
+    assert state.select("key").distinct().count() <= 3
+
+
+def test_a_trigger_is_evaluated_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            runs.add(len(pdf))
+            yield pdf
+    batch = spark.createDataFrame([(k, k, 1, "join", 1) for k in range(50)], "id long, us long, conn long, kind string, delta long")
+    root = shared_dir(spark, "once")
+    P.count_batches(root)(batch.mapInPandas(seen, batch.schema), 0)
+    assert runs.value == 50 and read_committed(spark, root, "counts", P.COUNTS).agg(F.max("en_ligne")).first()[0] == 50
+
+
+def test_a_trigger_s_movements_are_written_once(spark, monkeypatch):
+    from tillgrid.operators import strategy
+    names = []
+    for module in (strategy, L):
+        monkeypatch.setattr(module, "written", lambda df, name, keep=module.written: names.append(name) or keep(df, name))
+    moves = spark.createDataFrame([(1, -2, START, "vente", k) for k in range(20)], "produit_id long, delta long, ts timestamp_ntz, kind string, ref_id long")
+    root = shared_dir(spark, "lean")
+    L.status_change_batches(spark.createDataFrame([(1, 10, 3)], "id long, stock int, stock_alerte int"), root)(moves, 0)
+    assert names == ["slices"] and read_committed(spark, root, "changements", L.CHANGES).count() == 2
+
+
 def test_a_stream_started_again_goes_on_from_its_state(spark):
     rows = chat(200)
     root = shared_dir(spark, "again")

@@ -1,8 +1,9 @@
-"""Chat presence as streams (ST6-ST8): keyed state per connection, events put back in order.
+"""Chat presence as streams (ST6-ST8): state per connection, events put back in order.
 
-Events may arrive late, up to the watermark's delay. One stateful operator keyed by connection
+Events may arrive late, up to the watermark's delay. One stateful operator, keyed by a hash bucket of connections,
 keeps those that wait in list state; an event-time timer lets them go in (ts, id) order once the watermark has passed them,
-through the connection's state: its last join or disconnect and the session that is open. What is let
+through each connection's state: its last join or disconnect and the session that is open. A call to the state store costs as
+much as many events, so a bucket's events and its connections' states cross it as Arrow tables, not one by one. What is let
 go in one trigger lies wholly after what was let go in the triggers before, which the running online count
 (ST6) uses: it adds up a trigger's transitions over even slices, on top of what committed triggers left.
 
@@ -21,13 +22,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tillgrid.operators.strategy import running_sum
-from tillgrid.session import durable_state
+from tillgrid.session import durable_state, written
 from tillgrid.sources.commits import read_committed, write_batch
 
 DELAY = "1 day"
 
-WAITING = "us long, id long, kind string, username string"
-STATE = "kind string, username string, opened_id long, opened_us long, opened_by string"
+#: Connections are dealt to so many keys of the stateful operator.
+BUCKETS = 1024
+#: Rows of an Arrow table in state at most, and of the rows made at once.
+CHUNK = 50_000
+EVENT = ["conn", "us", "id", "kind", "username"]
+STATE = ["kind", "username", "opened_id", "opened_us", "opened_by"]
+_TYPES = {"kind": "string", "username": "string", "opened_by": "string"}  # all others are long
 #: A released event: ``delta`` as in the batch form (null for messages), ``relayed`` for messages, and
 #: the session it opens or closes.
 RELEASED = T.StructType([
@@ -57,41 +63,78 @@ def advance(state: tuple | None, event: tuple) -> tuple[tuple | None, tuple]:
     return ("disconnect", name, None, None, None), (0, None, None, None, None)
 
 
+def _schema(names: list[str]):
+    import pyarrow as pa
+    return pa.schema([(n, pa.string() if n in _TYPES else pa.int64()) for n in names])
+
+
+def _packed(table) -> list[tuple[bytes]]:
+    """State rows of an Arrow table."""
+    import pyarrow as pa
+    out = []
+    for at in range(0, table.num_rows, CHUNK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table.slice(at, CHUNK))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpacked(rows: Iterator[tuple], names: list[str]):
+    import pyarrow as pa
+    return pa.concat_tables([_schema(names).empty_table(), *(pa.ipc.open_stream(bytes(r[0])).read_all() for r in rows)])
+
+
 class Presence(StatefulProcessor):
-    """One connection: waiting events in list state, its status in value state, a timer for the first that waits."""
+    """One bucket of connections: waiting events and the connections' states in list states, a timer for the first that waits."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.status = handle.getValueState("status", STATE)
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.status = handle.getListState("status", "connections binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(us), int(i), kind, None if pd.isna(name) else name)
-               for pdf in rows for us, i, kind, name in zip(pdf["us"], pdf["id"], pdf["kind"], pdf["username"], strict=True)]
+        import pyarrow as pa
+        new = [pa.Table.from_pandas(pdf[EVENT], _schema(EVENT), preserve_index=False) for pdf in rows if len(pdf)]
         if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(-(-min(e[0] for e in new) // 1000))
+            events = pa.concat_tables(new)
+            self.waiting.appendList(_packed(events))
+            self._wake(events)
         yield from ()
 
+    def _wake(self, events) -> None:
+        import pyarrow.compute as pc
+        self.handle.registerTimer(-(-pc.min(events["us"]).as_py() // 1000))
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(tuple(e) for e in self.waiting.get())
-        ready = [e for e in events if e[0] <= passed]
-        later = events[len(ready):]
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(-(-later[0][0] // 1000))
+        events = _unpacked(self.waiting.get(), EVENT)
+        due = pc.less_equal(events["us"], passed)
+        ready, later = events.filter(due), events.filter(pc.invert(due))
+        if not ready.num_rows:  # those that wait have timers of their own
+            return
+        if later.num_rows:
+            self.waiting.put(_packed(later))
+            self._wake(later)
         else:
             self.waiting.clear()
-        if not ready:
-            return
-        state, out = tuple(self.status.get()) if self.status.exists() else None, []
-        for event in ready:
-            state, released = advance(state, event)
-            out.append((int(key[0]), *event, *released))
-        if state is not None:
-            self.status.update(state)
-        yield pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype="object") for i, f in enumerate(RELEASED)})
+        known = _unpacked(self.status.get(), ["conn", *STATE])
+        status = {conn: state for conn, *state in zip(*(c.to_pylist() for c in known.columns), strict=True)}
+        ready = ready.sort_by([(c, "ascending") for c in EVENT])
+        for at in range(0, ready.num_rows, CHUNK):
+            out = []
+            for conn, *event in zip(*(c.to_pylist() for c in ready.slice(at, CHUNK).columns), strict=True):
+                state, released = advance(status.get(conn), event)
+                if state is not None:
+                    status[conn] = state
+                out.append((conn, *event, *released))
+            yield pd.DataFrame({f.name: pd.Series([r[i] for r in out], dtype="object") for i, f in enumerate(RELEASED)})
+        if status:
+            columns = zip(*((conn, *state) for conn, state in status.items()), strict=True)
+            schema = _schema(["conn", *STATE])
+            self.status.put(_packed(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)))
 
 
 def released(events: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -106,7 +149,8 @@ def released(events: DataFrame, delay: str = DELAY) -> DataFrame:
                    .select(F.col("conn").cast("long").alias("conn"), F.timestamp_diff("MICROSECOND", origin, F.col("ts")).alias("us"),
                            F.col("id").cast("long").alias("id"), "kind", "username")
                    .withColumn("event_ts", F.timestamp_micros("us")).withWatermark("event_ts", delay))
-    return timed.groupBy("conn").transformWithStateInPandas(Presence(), RELEASED, "Append", "EventTime")
+    timed = timed.withColumn("bucket", F.pmod(F.xxhash64("conn"), F.lit(BUCKETS)).cast("int"))
+    return timed.groupBy("bucket").transformWithStateInPandas(Presence(), RELEASED, "Append", "EventTime")
 
 
 def transitions(events: DataFrame) -> DataFrame:
@@ -118,10 +162,11 @@ def count_batches(root: str) -> Callable[[DataFrame, int], None]:
     """ST6 sink: the number online after each join or disconnect of a trigger, on top of the triggers committed before."""
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
+        rows = written(batch, "released")  # the stateful plan behind a trigger runs once
+        if rows.isEmpty():
             return
         before = read_committed(spark, root, "counts", COUNTS, before=batch_id).agg(F.coalesce(F.sum("delta"), F.lit(0))).first()[0]
-        counted = running_sum(batch, [], ["us", "id"], "delta", "en_ligne").withColumn("en_ligne", F.col("en_ligne") + F.lit(before).cast("long"))
+        counted = running_sum(rows, [], ["us", "id"], "delta", "en_ligne", cheap=True).withColumn("en_ligne", F.col("en_ligne") + F.lit(before).cast("long"))
         write_batch(spark, {"counts": counted.select(*COUNTS.fieldNames())}, root, batch_id)
     return body
 
