@@ -63,6 +63,17 @@ def test_a_barcode_everybody_wants_takes_few_rounds(spark, monkeypatch):
     assert rounds.count("verdicts") <= 3
 
 
+def test_a_round_deals_its_events_twice(spark, monkeypatch):
+    from tillgrid.operators import strategy
+    names, keep = [], strategy.written
+    monkeypatch.setattr(strategy, "written", lambda df, name: names.append(name) or keep(df, name))
+    products = [(p, None) for p in range(1, 31)]
+    crowd = [(s, s + 1, "HOT", True) for s in range(30)]
+    assert decided(spark, products, crowd) == replay(products, crowd, 1000)
+    # One round by product and by barcode, and the barcodes that products keep.
+    assert names.count("slices") <= 3 and names.count("rows") <= 1
+
+
 def test_json_edits(spark):
     texts = ['{"id": 1, "nom": "a", "prix": 2.5}', '{"id": 1, "nom": "a", "prix": "3", "code_barres": null, "stock": 4}', '{"nom": "b", "prix": 1, "code_barres": "X", "stock": "many"}',
              '{"id": 2, "nom": " ", "prix": 1}', "[1]", "{", None, '{"nom": "c"}']

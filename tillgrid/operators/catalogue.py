@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillgrid.functions.scalars import clean_text
-from tillgrid.operators.strategy import carry_forward, running_max_before
+from tillgrid.operators.strategy import carry_forward, look_back
 from tillgrid.session import written
 from tillgrid.sources.schemas import DEFAULTS, MONEY
 
@@ -32,13 +32,6 @@ def parse_product_changes(df: DataFrame, col: str = "payload") -> tuple[DataFram
     return good, tagged.filter("rejet is not null").select("request_seq", F.col("_raw").alias("payload"), "rejet")
 
 
-def _next(df: DataFrame, value: Column, out: str) -> DataFrame:
-    """``out``: the first non-NULL ``value`` among later events of the same product."""
-    cols = df.columns
-    d = df.withColumn("_back", -F.col("seq")).withColumn("_value", value)
-    return carry_forward(d, ["p"], ["_back"], "_value", out).select(*cols, out)
-
-
 def _decide(events: DataFrame) -> DataFrame:
     """seq of the claims and releases that are accepted.
 
@@ -49,13 +42,14 @@ def _decide(events: DataFrame) -> DataFrame:
     """
     now = written(events, "events")
     while not now.filter("not sure").isEmpty():
-        d = _next(_next(now, F.col("seq"), "_any"), F.when(F.col("sure"), F.col("seq")), "_sure")
-        d = d.withColumns({"any_end": F.coalesce("_any", F.lit(_NEVER)), "sure_end": F.coalesce("_sure", F.lit(_NEVER))}).drop("_any", "_sure")
+        # The first later event of the same product, and the first sure one.
+        back = now.withColumns({"_back": -F.col("seq"), "_at": F.when(F.col("sure"), F.col("seq"))})
+        d = look_back(back, ["p"], ["_back"], lasts={"_any": "seq", "_sure": "_at"}, cheap=True)
+        d = d.select(*now.columns, F.coalesce("_any", F.lit(_NEVER)).alias("any_end"), F.coalesce("_sure", F.lit(_NEVER)).alias("sure_end"))
         d = written(d, "ends")
         on = d.filter("b is not null").withColumn("_holder", F.when(F.col("sure"), F.struct("p", "any_end", "sure_end"))).withColumn(
             "_open", F.when(~F.col("sure"), F.col("sure_end")))
-        on = carry_forward(on, ["b"], ["seq"], "_holder", "_last")
-        on = running_max_before(on, ["b"], ["seq"], "_open", "_reach").filter("not sure")
+        on = look_back(on, ["b"], ["seq"], lasts={"_last": "_holder"}, tops={"_reach": "_open"}, cheap=True).filter("not sure")
         other = F.coalesce(F.col("_last.p") != F.col("p"), F.lit(False))
         no = other & (F.col("_last.any_end") > F.col("seq"))
         yes = ~(other & (F.col("_last.sure_end") > F.col("seq"))) & (F.coalesce("_reach", F.lit(-1)) <= F.col("seq"))

@@ -47,30 +47,34 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """``out`` = the largest non-NULL ``value`` among earlier rows of the same key."""
-    keys = list(keys)
-    d = sliced(df, keys, order)
-    w_in = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    tops = d.groupBy(*keys, "_slice").agg(F.max(value).alias("_top"))
-    before = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"), F.max("_top").over(w_prev).alias("_before"))
-    return (d.withColumn("_in", F.max(value).over(w_in)).join(before, _same(keys), "inner")
-             .withColumn(out, F.greatest("_in", "_before")).select(*df.columns, out))
+    return look_back(df, keys, order, tops={out: value})
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """``out`` = the last non-NULL ``value`` among earlier rows of the same key."""
-    keys, order = list(keys), list(order)
-    d = sliced(df, keys, order)
+    return look_back(df, keys, order, lasts={out: value})
+
+
+def look_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], lasts: dict[str, str] | None = None, tops: dict[str, str] | None = None,
+              cheap: bool = False) -> DataFrame:
+    """Columns over the earlier rows of the same key: the last non-NULL value of each of ``lasts`` and the largest of each of ``tops``
+    (new column -> value column), from one dealing of the rows; ``cheap`` as for ``sliced``."""
+    keys, order, lasts, tops = list(keys), list(order), lasts or {}, tops or {}
+    d = sliced(df, keys, order, cheap)
     w_in = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # Last non-NULL value of each slice, then the latest of those before each slice.
     # max_by skips rows whose ordering is NULL, i.e. rows without a value.
-    ordkey = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))
-    finals = d.groupBy(*keys, "_slice").agg(F.max_by(F.col(value), ordkey).alias("_final"))
-    w_prev = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = finals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"),
-                            F.last("_final", ignorenulls=True).over(w_prev).alias("_carry"))
-    return (d.withColumn("_in", F.last(value, ignorenulls=True).over(w_in)).join(carried, _same(keys), "inner")
-             .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).select(*df.columns, out))
+    at = lambda value: F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))
+    finals = d.groupBy(*keys, "_slice").agg(*[F.max_by(F.col(v), at(v)).alias(f"_f_{o}") for o, v in lasts.items()],
+                                            *[F.max(v).alias(f"_f_{o}") for o, v in tops.items()])
+    before = finals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"),
+                           *[F.last(f"_f_{o}", ignorenulls=True).over(w_prev).alias(f"_b_{o}") for o in lasts],
+                           *[F.max(f"_f_{o}").over(w_prev).alias(f"_b_{o}") for o in tops])
+    inner = d.select("*", *[F.last(v, ignorenulls=True).over(w_in).alias(f"_i_{o}") for o, v in lasts.items()],
+                     *[F.max(v).over(w_in).alias(f"_i_{o}") for o, v in tops.items()])
+    return inner.join(before, _same(keys), "inner").select(
+        *df.columns, *[F.coalesce(f"_i_{o}", f"_b_{o}").alias(o) for o in lasts], *[F.greatest(f"_i_{o}", f"_b_{o}").alias(o) for o in tops])
 
 
 def _same(keys: Sequence[str]):
