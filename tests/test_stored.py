@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillgrid.operators import ledger, stored
+from tillgrid.plans import catalog_rules
+from tillgrid.sources import payloads
 
 DDL = "id long, nom string, actif int"
 
@@ -78,3 +80,21 @@ def test_a_hot_table_is_pruned(spark, table):
     t, path = table
     plan = stored.read_keyed(spark, path, t.schema, 16).filter(F.col("part16").isin([3]))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part16" in plan or "part16#" in plan.split("PartitionFilters")[1]
+
+
+def test_a_payload_is_parsed_once(spark, fx):
+    """The text is parsed in one place of the plan, and its keys looked at only where a value is NULL."""
+    item = '{"produit_id":1,"nom_produit":%s,"prix_unitaire":1.0,"quantite":1,"sous_total":1.0}'
+    sale = '{"request_id":%d,"total":2.0,"items":[%s]}'
+    texts = [sale % (1, item % '"a"'), sale % (2, item % "null"), sale % (3, '{"produit_id":1}'), sale % (4, ""), sale % (5, "null"), '{"request_id":6,"total":2.0}', "{", None]
+    sent = spark.createDataFrame(list(enumerate(texts)), "source_id long, payload string")
+    headers, lines, rejects = payloads.parse_payloads(sent, "sale")
+    assert sorted((r.request_id, r.n_items) for r in headers.collect()) == [(1, 1), (2, 1), (4, 0), (5, 1)]
+    assert sorted((r.request_id, r.nom_produit) for r in lines.filter("produit_id = 1").collect()) == [(1, "a"), (2, None)]
+    assert sorted((r.source_id, r.rejet, r.payload) for r in rejects.collect()) == [
+        (2, "champ_manquant", texts[2]), (5, "champ_manquant", texts[5]), (6, "json_invalide", "{"), (7, "json_invalide", None)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in ledger.record_sales(headers, lines, 10, 10)["ventes"], rejects:
+        assert plan(df).count("from_json") <= 3 and plan(df).count("request_id,LongType") == 1
+    out = catalog_rules._recorded_lines(fx)
+    assert "from_json" not in plan(out["vente_items"]) + plan(out["mouvements"])
